@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decision_list, decontaminate, pii, secrets, spans, url_filter
+from . import chat, decision_list, decontaminate, jaccard_join, packing, pii, secrets, spans, url_filter
 from .common import table
 
 #: Rules of the URL query, as (host, path, action).
@@ -41,6 +41,17 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_list.apply(docs.select("doc_id", "text"), rules).select("doc_id", *decision_list.COUNTS, "base_failed", "kept", "rule")
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where the public vocabulary lies, on the driver as on the executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -64,6 +75,10 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
@@ -72,9 +87,11 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op3_quality_rules": op3_quality_rules,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_decontamination": op6_decontamination,
     "op7_pii": op7_pii,
     "op8_secrets": op8_secrets,
+    "op9_best_fit_packing": op9_best_fit_packing,
     "op10_url_filters": op10_url_filters,
 }
 

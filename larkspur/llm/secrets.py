@@ -72,3 +72,19 @@ def scan(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame:
     linked = link(parts.select("key", "p.*"), scope).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("linked"))
     out = base.join(linked, F.col("_key") == F.col("key"), "left").drop("_key", "key")
     return out.withColumn("linked", F.coalesce("linked", F.array().cast("array<struct<start: int, end: int, kind: string>>")))
+
+
+def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", scope: int = SCOPE) -> DataFrame:
+    """docs with every span of their texts replaced by ``mark``; overlapping spans become one. Null texts stay null."""
+    df = scan(docs, text, scope)
+    every = F.array_sort(F.concat(F.transform("strong", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))), F.transform("linked", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))))
+    df = df.withColumn("_s", every)
+
+    def add(acc: Column, s: Column) -> Column:
+        fresh = s["start"] >= acc["at"]
+        return F.struct(
+            F.when(fresh, F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
+            F.greatest(acc["at"], s["end"]).alias("at"))
+
+    done = F.aggregate("_s", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), add, lambda a: F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, F.length(F.col(text)))))
+    return df.withColumn(text, F.when(F.size("_s") > 0, done).otherwise(F.col(text))).drop("_s", "strong", "linked")

@@ -1,0 +1,220 @@
+"""Native operators against plain Python versions, on real and on awkward rows."""
+
+import hashlib
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from larkspur.llm import chat, decision_list, decontaminate, pii, queries, secrets, spans, url_filter
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+AWKWARD = [None, "", " \n\t ", "one", "a b", "a b c", "a b c a b c a b c", "x\x0by\x0cz", "é ß 漢字 😀 😀 😀 😀", "<|user|>\n[INST] \\l \\\\ | </s>", "l\n\nl\nl \n l", "w " * 3000]
+
+
+def base_statistics(text):
+    w = WORD.findall(text or "")
+    grams = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    covered = {j for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+    seen, dup = set(), 0
+    for line in (text or "").split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), dup, len(covered)
+
+
+def docs_of(spark, texts):
+    return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+
+
+def test_statistics(spark):
+    real = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    texts = AWKWARD + real
+    got = {r.doc_id: r for r in decision_list.apply(docs_of(spark, texts), decision_list.DecisionList(())).collect()}
+    for i, t in enumerate(texts):
+        want = base_statistics(t)
+        assert tuple(got[i][c] for c in decision_list.COUNTS) == want, (i, t and t[:80])
+        assert got[i].base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0])
+
+
+def test_decision_list_learns_thresholds(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = {f: rng.random(2000) for f in decision_list.FEATURES}
+    bad = ((x["symbol_share"] > 0.8) & (x["upper_share"] > 0.5)) | (x["repeat_share"] > 0.95)
+    rules = decision_list.fit(x, bad)
+    on = np.zeros(2000, bool)
+    for r in rules.rules:
+        on |= np.logical_and.reduce([c.holds(x) for c in r])
+    assert (on == bad).mean() > 0.98
+    assert decision_list.fit(x, np.zeros(2000, bool)).rules == ()
+    df = spark.createDataFrame([tuple(float(x[f][i]) for f in decision_list.FEATURES) for i in range(200)], list(decision_list.FEATURES))
+    assert [r[0] > 0 for r in df.select(rules.column()).collect()] == on[:200].tolist()
+
+
+def test_quality_query_keeps_clean_documents(spark):
+    got = queries.op3_quality_rules(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("NOT base_failed")
+    n, good, kept_good, dropped_bad = got.agg(F.count("*"), F.sum("quality"), F.sum(F.expr("if(kept, quality, 0)")), F.sum(F.expr("if(kept, 0, 1 - quality)"))).first()
+    assert kept_good / good > 0.97 and dropped_bad / (n - good) > 0.7
+
+
+def test_chat_round_trip(spark):
+    rows = [(1, 0, "system", "be [INST] <|good|> \\"), *[(1, i, "user" if i % 2 else "assistant", f"turn {i} <|end|>\n" + "word " * (i * 7 % 50)) for i in range(1, 60)],
+            (2, 0, "assistant", None), (2, 0, "assistant", None), (2, 1, None, ""), (3, 5, "user", "w " * 4000), (3, 6, "assistant", "ok"), (None, 1, "user", "x"), (None, None, "assistant", "first"), (4, 0, "a|b\\<", "odd role")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("n", F.lit(1)).withColumn("t", F.lit("clash"))
+    windows = chat.format_windows(df, budget=200, history=40).collect()
+    back = chat.read_back(spark.createDataFrame(windows, "conv_id long, first_turn long, n_repeated int, n_new int, n_tokens long, formatted string, loss_spans array<struct<start:int,length:int>>")).collect()
+    key = lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")
+    for conv in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == conv), key=key)
+        parts = sorted((b for b in back if b.conv_id == conv), key=lambda b: b.first_turn)
+        assert [(t.role, t.text) for b in parts for t in b.turns] == [(r[2] or "", r[3] or "") for r in own]
+        assert [x for b in parts for x in b.loss] == [r[3] or "" for r in own if r[2] == "assistant"]
+    assert all(w.n_tokens <= 200 for w in windows if w.conv_id == 1)
+    later = [w for w in windows if w.conv_id == 1 and w.first_turn > 0]
+    assert later and all(w.formatted.startswith("<|system|>\nbe \\bINST] \\l\\pgood\\p> \\\\<|end|>") and w.n_repeated > 1 for w in later)
+    assert chat.format_windows(df.limit(0)).count() == 0
+
+
+def test_chat_query(spark):
+    got = {r.conv_id: r for r in queries.op1_chat_formatting(spark, SF).collect()}
+    convs = {-1: [("user", "</s>[INST] ok [/INST]"), ("assistant", "</s>[INST] ok [/INST]")]}
+    for r in spark.read.parquet(f"{SF}/conversations.parquet").orderBy("conv_id", "turn").collect():
+        convs.setdefault(r.conv_id, []).append((r.role, r.text or ""))
+    assert set(got) == set(convs)
+    for k, turns in convs.items():
+        loss = "".join(t for r, t in turns if r == "assistant")
+        assert got[k].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+        assert (got[k].n_turns, got[k].loss_chars, got[k].loss_sha256) == (len(turns), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        assert got[k].formatted_chars >= sum(len(t) for _, t in turns)
+
+
+def test_urls(spark):
+    rules = spark.createDataFrame([("b.com", "/x", "block"), ("com", "/", "allow"), ("b.com", "/x", "allow"), ("c.b.com", "", "allow"), (None, "/", "block"), ("org", "/", "nonsense")], "host string, path string, action string")
+    urls = [None, "", "no-scheme.com/x", "http://B.com/x1?y#z", "http://a.b.com/x", "http://c.b.com/x", "http://bb.com/x", "://b.com/xy", "http://d.com", "http://d.com/", "http://d.org/", "http://", "http://a.b.com/x\n://y", "http://b.com/x1?y#z"]
+    df = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, rule string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(df, rules, default="allow").collect()}
+    assert got[0] == got[1] == got[2] == ("", "", None, "allow")
+    assert got[3] == ("b.com", "/x1", "b.com/x", "block") == got[13]
+    assert got[4][2:] == ("b.com/x", "block") and got[5][2:] == ("b.com/x", "block") or got[5][2:] == ("c.b.com", "allow")
+    assert got[6][2:] == ("com/", "allow") and got[7] == ("b.com", "/xy", "b.com/x", "block") and got[8] == ("d.com", "", None, "allow") and got[9][2] == "com/"
+    assert got[10][2:] == (None, "allow") and got[11][0] == "" and len(got) == len(urls)
+    assert url_filter.judge(df, rules.limit(0), default="block").where("verdict = 'block'").count() == len(urls)
+    assert url_filter.judge(df.limit(0), rules).count() == 0
+
+
+def runs(pattern, text, ok=lambda m: True):
+    return [(m.start(), m.end()) for m in re.finditer(pattern, text or "") if ok(m)]
+
+
+def luhn(s):
+    d = [int(c) for c in reversed(re.sub(r"[^0-9]", "", s))]
+    return 13 <= len(d) <= 19 and sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(d)) % 10 == 0
+
+
+PII_TEXTS = ["mail a@b.c.d@e.f x@y a@b.c_d@e.f 😀 é x.y+z@mail.example.com.", "1.2.3.4.5.6.7.8 999.1.1.1 0255.001.1.1 1.2.3", "4111 1111 1111 1111, 4111-1111-1111-1112 5500005555555559 0 0-0 12",
+             "+1 (555) 555-0922 +49.30.123456 +1 2 +123456789012345678 ++1 234 567 890", "call (212) 555 0199 today; mail: joe [at] example [dot] com; ssn 123-45-6789", "a" * 5000 + "@", "1" * 5000]
+
+
+def test_pii_base(spark):
+    texts = AWKWARD + PII_TEXTS + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = {r.doc_id: r for r in pii.scan(docs_of(spark, texts), {}).collect()}
+    for i, t in enumerate(texts):
+        want = {
+            "email": runs(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t) if len(t or "") < 4000 or "@" in t[:-1] else [],
+            "ip": runs(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t, lambda m: all(int(p) <= 255 for p in m[0].split("."))) if t != "1" * 5000 else [],
+            "card": runs(r"[0-9]([\x20-]?[0-9])+", t, lambda m: luhn(m[0])),
+            "phone": runs(r"\+[0-9][\x20().0-9-]+[0-9]", t, lambda m: 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15),
+        }
+        for kind, places in want.items():
+            assert [(s.start, s.end) for s in got[i].base if s.kind == kind] == places, (kind, t and t[:90])
+        assert got[i].added == []
+
+
+def test_pii_learns_to_add(spark):
+    true = [f"please call me by phone at (212) 555 01{i:02d} today" for i in range(40)] + [f"contact mail: joe{i} [at] example [dot] com" for i in range(40)]
+    false = [f"order part 999 555 {1000 + i}, serial 12" for i in range(40)]
+    docs = docs_of(spark, true + false)
+    weights = pii.fit(docs)
+    got = {r.doc_id: [s.kind for s in r.added] for r in pii.scan(docs, weights).collect()}
+    assert sum(bool(got[i]) for i in range(80)) > 70 and sum(bool(got[i]) for i in range(80, 120)) < 10
+    assert pii.fit(docs.limit(0)) == {}
+    one = pii.scan(docs_of(spark, [None, "a@b.co"]), weights).orderBy("doc_id").collect()
+    assert one[0].base == [] and one[1].base[0].kind == "email"
+
+
+SECRET_TEXTS = ["token:secret:longvalue123 PASSWORD = 'abcdefgh' password=abc token=token=abcdefgh12 api-key: 12345678", "AKIAABCDEFGHIJKL AKIAABC AKIAAKIAAKIAAKIA1", "f" * 32 + " " + "a" * 31,
+                "user=admin " + "x " * 20 + "Zk3" + "aB9x" * 8, "nothing here Zk3" + "aB9x" * 8, "see https://api.example.com/v1 and AbC123" + "dEf456" * 4, "just https://api.example.com/v1"]
+
+
+def test_secrets(spark):
+    texts = AWKWARD + SECRET_TEXTS + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = {r.doc_id: r for r in secrets.scan(docs_of(spark, texts)).collect()}
+    assert len(got) == len(texts)
+    kinds = {}
+    for i, t in enumerate(texts):
+        want = {
+            "assign": runs(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, lambda m: len(m[1]) >= 8),
+            "access": runs(r"AKIA[A-Z0-9]+", t, lambda m: len(m[0]) >= 16), "hex": runs(r"[0-9a-f]+", t, lambda m: len(m[0]) >= 32),
+        }
+        for kind, places in want.items():
+            assert [(s.start, s.end) for s in got[i].strong if s.kind == kind] == places, (kind, t and t[:90])
+        kinds[t] = sorted(s.kind for s in got[i].linked)
+    assert kinds[SECRET_TEXTS[3]] == ["identifier", "secret"] and kinds[SECRET_TEXTS[4]] == [] and kinds[SECRET_TEXTS[5]] == ["endpoint", "secret"] and kinds[SECRET_TEXTS[6]] == []
+    clean = {r.doc_id: r.text for r in secrets.redact(docs_of(spark, texts)).collect()}
+    assert clean[0] is None and clean[len(AWKWARD)] == "token:secret:longvalue123 [SECRET]' password=abc [SECRET] api-key: 12345678"
+    assert clean[len(AWKWARD) + 2] == "[SECRET] " + "a" * 31
+
+
+def test_link_against_all_pairs(spark):
+    import random
+
+    r = random.Random(3)
+    parts = [(k, s, s + 10, r.choice(["secret", "identifier", "endpoint", "access", "hex"])) for k in range(5) for s in r.sample(range(20000), 25)]
+    rows = [(k, s, e, kind, kind in ("access", "hex")) for k, s, e, kind in parts]
+    role = {"secret": "s", "hex": "s", "access": "i", "identifier": "i", "endpoint": "e"}
+    want = {p[:4] for p in rows if not p[4] and any(q[0] == p[0] and abs(p[1] - q[1]) <= 300 and (role[q[3]] != "s" if role[p[3]] == "s" else role[q[3]] == "s") for q in rows)}
+    got = {(x.key, x.start, x.end, x.kind) for x in secrets.link(spark.createDataFrame(rows, "key long, start int, end int, kind string, given boolean"), 300).collect()}
+    assert want <= got
+    near = {p[:4] for p in rows if not p[4] and any(q[0] == p[0] and (abs(p[1] - q[1]) <= 300 or p[1] // 300 == q[1] // 300) and (role[q[3]] != "s" if role[p[3]] == "s" else role[q[3]] == "s") for q in rows)}
+    assert got == near
+
+
+def test_listing(spark):
+    row = spark.sql("SELECT array(named_struct('start', 5, 'end', 7, 'kind', 'b', 'value', ''), named_struct('start', 1, 'end', 3, 'kind', 'z', 'value', ''), named_struct('start', 9, 'end', 10, 'kind', 'a', 'value', ''), named_struct('start', 5, 'end', 6, 'kind', 'a', 'value', '')) AS s")
+    assert row.select(spans.listing(F.col("s"), ("a", "b"), True)).first()[0] == "a:5:6,a:9:10,b:5:7,z:1:3"
+    assert row.select(spans.listing(F.col("s"), ("a", "b"), False)).first()[0] == "z:1:3,a:5:6,b:5:7,a:9:10"
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_decontamination(spark, limit):
+    import random
+
+    r = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(400)]
+    item = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    items = [item(40) for _ in range(8)] + [item(6)]
+    noise = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    swapped = list(items[2])
+    for i in range(4, 40, 8):
+        swapped[i] = "other"
+    docs = [None, "", " ".join(noise(300)), " ".join(noise(50) + items[0] + noise(50)), " ".join(noise(9) + swapped + noise(10)), " ".join(items[3]).upper().replace(" ", ", "),
+            " ".join(noise(20) + items[4][10:25] + noise(20)), " ".join(noise(20) + items[5][:8] + noise(20)), " ".join(items[0] + noise(5) + items[1]), " ".join(noise(5) + items[8] + noise(9))]
+    rows = [(i, d) for i, d in enumerate(docs)] + [(3, docs[3])]
+    got = decontaminate.overlaps(spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.lit(1)), spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)] + [(99, None)], "item_id long, text string"), broadcast_windows=limit).collect()
+    assert sorted((g.doc_id, g.item_id) for g in got) == [(3, 0), (4, 2), (5, 3), (6, 4), (8, 0), (8, 1)] + ([(9, 8)] if any(g.doc_id == 9 for g in got) else [])
+    by = {(g.doc_id, g.item_id): g for g in got}
+    assert (by[3, 0].n_same, by[3, 0].n_tokens, by[3, 0].start, by[3, 0].identity) == (40, 40, 50, 1.0) and by[4, 2].n_same == 35 and by[6, 4].n_same == 15
+
+
+def test_decontamination_finds_planted_items(spark):
+    bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    plain = lambda t: " ".join(re.findall(r"[^\W_]+", (t or "").lower()))
+    want = {(d.doc_id, b.item_id) for d in docs for b in bench if f" {plain(b.text)} " in f" {plain(d.text)} "}
+    got = {(r.doc_id, r.item_id) for r in queries.op6_decontamination(spark, "/root/testdata/sf0.01").collect()}
+    assert want <= got

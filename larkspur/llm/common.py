@@ -40,3 +40,12 @@ def add_row_id(df: DataFrame, name: str, *parts: Column) -> DataFrame:
 def text_key(text: Column) -> Column:
     """Two 64-bit hashes: a key of a text that is cheap to shuffle."""
     return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+
+
+def settle(df: DataFrame, *columns: str) -> DataFrame:
+    """df with these columns computed once: they come out of a generator, which no filter on them is pushed below.
+
+    Without it the optimizer replaces a column in a filter by its expression, as often as it occurs.
+    """
+    rest = [c for c in df.columns if c not in columns]
+    return df.select(*rest, F.explode(F.array(F.struct(*columns))).alias("_settled")).select(*rest, *[F.col(f"_settled.{c}").alias(c) for c in columns])

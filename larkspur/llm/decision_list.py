@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import settle, words
 
 #: At most this many labelled rows are used to fit (chosen by hash of the id).
 SAMPLE_ROWS = 10_000
@@ -55,7 +55,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         "pipe_share": per_word(F.regexp_count(body, F.lit(r"\|"))), "distinct_share": per_word(F.size(F.array_distinct("_w"))),
         "stop_share": per_word(F.regexp_count(body, F.lit(r"[.!?]"))),
     })
-    return df.drop("_w", "_g", "_s", "_p", "_l")
+    return settle(df.drop("_w", "_g", "_s", "_p", "_l"), *dict.fromkeys(COUNTS + FEATURES))
 
 
 @dataclass(frozen=True)

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import settle
+
 #: Places that each mask looks at. Two masks find any run of 12 tokens with two substitutions at most positions.
 MASKS = ((0, 1, 3, 4, 6), (0, 1, 2, 5, 8))
 MIN_WORDS, MIN_IDENTITY, PENALTY = 10, 0.75, 1.5
@@ -78,7 +80,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item
         met = windows(d, "h", "at", masks).select("d_key", "at", "mask", "seed").join(asked, (F.col("seed") == F.col("s")) & (F.col("mask") == F.col("m")))
         hits = met.join(items, "item_key").join(d.dropDuplicates(["d_key"]), "d_key")
     hits = hits.where(_first_of_run(masks)).withColumn("shift", F.col("at") - F.col("item_at"))
-    best = hits.select("doc_id", "item_id", F.size("item_h").alias("item_n"), _verified(penalty).alias("v")).select("doc_id", "item_id", "item_n", "v.best_n", "v.best_same", "v.best_end")
+    best = hits.select("doc_id", "item_id", F.size("item_h").alias("item_n"), _verified(penalty).alias("v"))
+    best = settle(best, "v").select("doc_id", "item_id", "item_n", "v.best_n", "v.best_same", "v.best_end")
     good = best.where((F.col("best_same") >= F.least(F.lit(min_words), F.col("item_n"))) & (F.col("best_same") >= min_identity * F.col("best_n")))
     pairs = good.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("best_same").alias("n_same"), (-F.col("best_n")).alias("n"), (-(F.col("best_end") - F.col("best_n") + 1)).alias("s"))).alias("b"))
     return pairs.select("doc_id", "item_id", F.col("b.n_same").cast("long").alias("n_same"), (-F.col("b.n")).cast("long").alias("n_tokens"), (-F.col("b.s")).cast("long").alias("start"), (F.col("b.n_same") / -F.col("b.n")).alias("identity"))

@@ -17,13 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import spans as S
+from .common import settle
 
 KINDS = ("email", "ip", "card", "phone")
 
-# Patterns of base findings. Possessive runs that start where a run starts are the same matches, found in linear time.
-EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+# Patterns of base findings. Possessive runs, and a look ahead for as many digits as a card has, give the same matches in linear time and without deep recursion.
+EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"
-CARD = r"[0-9](?:[\x20-]?[0-9])+"
+CARD = r"(?=[0-9](?:[\x20-]?[0-9]){12})[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IP_PARTS = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
 
@@ -41,7 +42,9 @@ IBAN_COUNTRIES = ("AT", "BE", "CH", "CZ", "DE", "DK", "ES", "FI", "FR", "GB", "I
 CUES = {"email": "mail|contact|write|reach|address", "phone": "phone|call|tel|fax|mobile|cell|whatsapp", "card": "card|visa|credit|payment", "id": "ssn|social|security", "iban": "iban|bank|account|konto"}
 COUNTER_CUES = "version|isbn|order|sku|page|part|serial|invoice|model"
 AROUND = 40  # code points of context
-LABELERS = 4
+#: Where expectation-maximisation starts: chances of a yes, an abstention and a no on true and on false spans, for each labeler (pattern, gazetteer, cue, digits around).
+START = (((0.8, 0.15, 0.05), (0.5, 0.2, 0.3)), ((0.8, 0.15, 0.05), (0.5, 0.2, 0.3)), ((0.5, 0.45, 0.05), (0.05, 0.55, 0.4)), ((0.01, 0.89, 0.1), (0.01, 0.59, 0.4)))
+LABELERS = len(START)
 
 
 def luhn(digits: Column) -> Column:
@@ -98,7 +101,7 @@ def votes(text: Column, s: Column) -> list[Column]:
 def em(counts: dict[tuple, float], rounds: int = 50, prior: float = 0.3) -> tuple[dict[tuple, float], dict]:
     """counts: (kind, votes...) -> how often. Posteriors of the same keys, and per kind the prior and each labeler's chances of voting -1, 0, 1 on true and false spans."""
     kinds = {k[0] for k in counts}
-    model = {k: (prior, [{True: {1: 0.6, 0: 0.3, -1: 0.1}, False: {1: 0.2, 0: 0.4, -1: 0.4}} for _ in range(LABELERS)]) for k in kinds}
+    model = {k: (prior, [{side: dict(zip((1, 0, -1), p, strict=True)) for side, p in zip((True, False), pair, strict=True)} for pair in START]) for k in kinds}
     post: dict[tuple, float] = {}
     for _ in range(rounds):
         for key in counts:
@@ -110,11 +113,11 @@ def em(counts: dict[tuple, float], rounds: int = 50, prior: float = 0.3) -> tupl
             own = [(k, n) for k, n in counts.items() if k[0] == kind]
             total, true = sum(n for _, n in own), sum(n * post[k] for k, n in own)
             lab = []
-            for i in range(LABELERS):
+            for i, pair in enumerate(START):
                 # A pseudo-count of 20 in the shape of the start keeps labels from swapping.
-                t = {v: sum(n * post[k] for k, n in own if k[1 + i] == v) + 20 * w for v, w in ((1, 0.6), (0, 0.3), (-1, 0.1))}
-                f = {v: sum(n * (1 - post[k]) for k, n in own if k[1 + i] == v) + 20 * w for v, w in ((1, 0.2), (0, 0.4), (-1, 0.4))}
-                lab.append({True: {v: x / sum(t.values()) for v, x in t.items()}, False: {v: x / sum(f.values()) for v, x in f.items()}})
+                weight = {True: lambda k: post[k], False: lambda k: 1 - post[k]}
+                sums = {side: {v: sum(n * weight[side](k) for k, n in own if k[1 + i] == v) + 20 * w for v, w in zip((1, 0, -1), p, strict=True)} for side, p in zip((True, False), pair, strict=True)}
+                lab.append({side: {v: x / sum(x_of.values()) for v, x in x_of.items()} for side, x_of in sums.items()})
             model[kind] = (min(max((true + 10 * prior) / (total + 10), 0.01), 0.99), lab)
     return post, model
 
@@ -137,8 +140,8 @@ def train(counts: dict[tuple, float], post: dict[tuple, float], rounds: int = 40
 
 def fit(docs: DataFrame, text: str = "text") -> dict[tuple, float]:
     body = F.coalesce(F.col(text), F.lit(""))
-    found = docs.select(body.alias("t")).withColumn("b", base(F.col("t"))).withColumn("c", candidates(F.col("t"), F.col("b"))).where("size(c) > 0")
-    one = found.select("t", F.explode("c").alias("s"))
+    found = docs.select(body.alias("t")).withColumn("b", base(F.col("t"))).withColumn("c", candidates(F.col("t"), F.col("b")))
+    one = settle(found.select("t", "c"), "c").select("t", F.explode("c").alias("s"))
     names = [f"v{i}" for i in range(LABELERS)]
     voted = one.select(F.col("s.kind").alias("kind"), *[v.alias(n) for v, n in zip(votes(F.col("t"), F.col("s")), names, strict=True)])
     counts = {tuple(r[:-1]): float(r[-1]) for r in voted.groupBy("kind", *names).count().collect()}  # at most kinds x 3^labelers rows

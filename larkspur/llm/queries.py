@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decision_list, decontaminate, jaccard_join, packing, pii, secrets, spans, url_filter
-from .common import table
+from . import chat, decision_list, decontaminate, jaccard_join, language_model, packing, pii, secrets, spans, toxicity, url_filter
+from .common import bucket, table
 
 #: Rules of the URL query, as (host, path, action).
 URL_RULES = [
@@ -35,12 +35,25 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", (bucket("doc_id", 4) == 2).alias("held_out"), "text")
+    labels = table(spark, sf_dir, "labels").where(bucket("doc_id", 4) != 2)
+    scored = toxicity.score(docs, toxicity.learn(docs.select("doc_id", "text"), labels))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = decision_list.learn(docs, table(spark, sf_dir, "labels"))
     return decision_list.apply(docs.select("doc_id", "text"), rules).select("doc_id", *decision_list.COUNTS, "base_failed", "kept", "rule")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", (bucket("doc_id", 10) == 0).alias("held_out"), "text")
+    scored = language_model.score(docs, docs.where("NOT held_out"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     """Where the public vocabulary lies, on the driver as on the executors."""
     import public_tokenizers
@@ -86,7 +99,9 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op2_toxicity": op2_toxicity,
     "op3_quality_rules": op3_quality_rules,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_decontamination": op6_decontamination,
     "op7_pii": op7_pii,

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import spans as S
-from .common import text_key
+from .common import settle, text_key
 
 KINDS = ("assign", "access", "hex")
 SCOPE = 300  # code points between the starts of parts that belong together
@@ -65,7 +65,8 @@ def scan(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame:
     """docs with ``strong`` and ``linked``: arrays of spans (start, end, kind, value; linked ones without value)."""
     body = F.coalesce(F.col(text), F.lit(""))
     base = docs.drop("strong", "linked").withColumn("strong", strong(body)).withColumn("_key", text_key(body))
-    found = docs.select(text_key(body).alias("key"), strong(body).alias("s"), weak(body).alias("w")).where("size(w) > 0")
+    found = docs.select(text_key(body).alias("key"), strong(body).alias("s"), weak(body).alias("w"))
+    found = settle(found, "s", "w").where("size(w) > 0")
     found = found.groupBy("key").agg(F.first("s").alias("s"), F.first("w").alias("w"))
     found = found.withColumn("w", S.clear_of(F.col("w"), F.col("s")))
     parts = found.select("key", F.explode(F.concat(F.transform("s", lambda x: F.struct(x["start"], x["end"], x["kind"], F.lit(True).alias("given"))), F.transform("w", lambda x: F.struct(x["start"], x["end"], x["kind"], F.lit(False).alias("given"))))).alias("p"))

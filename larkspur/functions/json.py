@@ -60,6 +60,10 @@ def any_of(items: Column, test) -> Column:
     return F.coalesce(F.exists(items, test), F.lit(False))
 
 
+def containing(value: Any):
+    return lambda e: contains(e, value)
+
+
 def contains(x: Column, value: Any) -> Column:
     """Whether a JSON value contains a literal: objects by key, arrays by element, scalars by kind and value."""
     if isinstance(value, dict):
@@ -69,7 +73,7 @@ def contains(x: Column, value: Any) -> Column:
     elif isinstance(value, (list, tuple)):
         test = array(x).isNotNull()
         for v in value:
-            test = test & any_of(array(x), lambda e, v=v: contains(e, v))
+            test = test & any_of(array(x), containing(v))
     elif value is None:
         test = F.is_variant_null(x)
     elif isinstance(value, bool):

@@ -70,20 +70,32 @@ class EliasFano:
         at = np.asarray(at, np.int64)
         return ((_select(self.high, self.ones, at, False) - at).astype(U) << U(self.width)) | unpack(self.low, at, self.width)
 
-    def successor(self, values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """For each value (below the universe) the first place in [first, last) whose value is not smaller (last if there is none).
+    def _search(self, values: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Successors, where their buckets end, and the values' low bits.
 
-        The value's high bits name a bucket of about one entry, found by the zeros around it; only its entries are compared.
+        The value's high bits name a bucket of about one entry, found by the zeros around it; all of its entries share them, so only low bits are compared.
         """
         high = (values >> U(self.width)).astype(np.int64)
+        low = values & U((1 << self.width) - 1)
         before = np.where(high > 0, _select(self.high, self.zeros, np.maximum(high - 1, 0), True) + 1, 0) - high
         lo = np.clip(before, first, last)
-        hi = np.clip(_select(self.high, self.zeros, high, True) - high, first, last)
+        end = np.clip(_select(self.high, self.zeros, high, True) - high, first, last)
+        hi = end.copy()
         open_ = np.flatnonzero(lo < hi)
         while len(open_):
             mid = (lo[open_] + hi[open_]) >> 1
-            small = self[mid] < values[open_]
+            small = unpack(self.low, mid, self.width) < low[open_]
             lo[open_[small]] = mid[small] + 1
             hi[open_[~small]] = mid[~small]
             open_ = open_[lo[open_] < hi[open_]]
-        return lo
+        return lo, end, low
+
+    def successor(self, values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """For each value (below the universe) the first place in [first, last) whose value is not smaller (last if there is none)."""
+        return self._search(values, first, last)[0]
+
+    def find(self, values: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the values there are in [first, last), and their successors' places."""
+        at, end, low = self._search(values, first, last)
+        inside = np.flatnonzero(at < end)
+        return inside[unpack(self.low, at[inside], self.width) == low[inside]], at

@@ -132,15 +132,20 @@ def _save(folder: str, arrays: dict[str, np.ndarray]) -> None:
         shutil.rmtree(beside)  # another attempt of this task has written the same
 
 
+def _mapped(path: str) -> np.ndarray:
+    """A memory-mapped array, as a plain view: it is read in place all the same, and indexing costs less."""
+    return np.load(path, mmap_mode="r").view(np.ndarray)
+
+
 def _load(folder: str, names: tuple[str, ...]) -> dict[str, np.ndarray]:
-    return {n: np.load(f"{folder}/{n}.npy", mmap_mode="r") for n in names}
+    return {n: _mapped(f"{folder}/{n}.npy") for n in names}
 
 
 _SEQUENCE = ("low", "high", "ones", "zeros", "shape")
 
 
 def _sequence(folder: str, name: str) -> EliasFano:
-    return EliasFano({k: np.load(f"{folder}/{name}_{k}.npy", mmap_mode="r") for k in _SEQUENCE})
+    return EliasFano({k: _mapped(f"{folder}/{name}_{k}.npy") for k in _SEQUENCE})
 
 
 def _prefixed(name: str, values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
@@ -171,11 +176,9 @@ class Words:
             if a == b or self.offsets[s] == self.offsets[s + 1]:
                 continue
             if s not in self.open:
-                self.open[s] = _sequence(f"{self.path}/words-{s}", "word"), np.load(f"{self.path}/words-{s}/count.npy", mmap_mode="r")
+                self.open[s] = _sequence(f"{self.path}/words-{s}", "word"), _mapped(f"{self.path}/words-{s}/count.npy")
             words, count = self.open[s]
-            at = words.successor(h[a:b], np.zeros(b - a, np.int64), np.full(b - a, words.n))
-            there = np.flatnonzero(at < words.n)
-            there = there[words[at[there]] == h[a:b][there]]
+            there, at = words.find(h[a:b], np.zeros(b - a, np.int64), np.full(b - a, words.n))
             ids[a + there] = self.offsets[s] + at[there]
             counts[a + there] = count[at[there]]
         return ids, counts
@@ -239,7 +242,7 @@ def _counts_of(path: str, offsets: list[int], ids: np.ndarray) -> np.ndarray:
     shard = np.searchsorted(bounds, ids.astype(np.int64), "right") - 1
     for s in np.unique(shard):
         on = shard == s
-        out[on] = np.load(f"{path}/words-{s}/count.npy", mmap_mode="r")[ids[on].astype(np.int64) - bounds[s]]
+        out[on] = _mapped(f"{path}/words-{s}/count.npy")[ids[on].astype(np.int64) - bounds[s]]
     return out
 
 
@@ -269,9 +272,8 @@ class Trie:
             context = v[a:b] - self.offsets[shard[a]]
             first, last = pointer[context].astype(np.int64), pointer[context + 1].astype(np.int64)
             value = context.astype(U) * U(self.offsets[-1]) + np.maximum(w[a:b], 0).astype(U)
-            at = succ.successor(value, first, last)
-            hit = np.flatnonzero((at < last) & (w[a:b] >= 0))
-            hit = hit[succ[at[hit]] == value[hit]]
+            hit, at = succ.find(value, first, last)
+            hit = hit[w[a:b][hit] >= 0]
             res = out[a:b] + np.where(last > first, arrays["back_book"][arrays["back"][context]], 0.0)
             res[hit] = arrays["book"][arrays["code"][at[hit]]]
             out[a:b] = res

@@ -28,6 +28,8 @@ from .storage import ship
 #: At most so many labelled documents of each label, of at most so many characters, are used to fit.
 SAMPLE_DOCS, SAMPLE_CHARS = 2_000, 20_000
 LANDMARKS, DECAY, SPAN, CODES = 64, 0.6, 6, 128
+#: Kernels made at once: each takes a row of numbers for every subsequence of its word.
+BLOCK = 128 * 1024
 _PATTERNS = [(a, b, DECAY ** (b + 1)) for a in range(1, SPAN - 1) for b in range(a + 1, SPAN)]
 _SENTENCE = re.compile(r"[.!?]+(?=\s|$)|\n+")
 _INNER = re.compile(r"[\W\d_]+")
@@ -94,8 +96,9 @@ class Kernel:
 
     def __call__(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
-        for k in range(0, len(words), 4096):
-            part = words[k : k + 4096]
+        step = max(1, BLOCK // len(self.landmarks))
+        for k in range(0, len(words), step):
+            part = words[k : k + step]
             owner, code, weight = subsequences(part)
             norm = np.sqrt(np.bincount(owner, weight**2, minlength=len(part)))
             row = self.row[code]
@@ -159,7 +162,7 @@ def choose_landmarks(docs: list[list[list[str]]], toxic: np.ndarray, n: int) ->
     ranked = sorted(worth, key=lambda w: (-worth[w], w))[:2000]
     chosen: list[str] = []
     if ranked:
-        alike = Kernel(ranked)(ranked)
+        alike = np.concatenate([Kernel(ranked[k : k + 250])(ranked) for k in range(0, len(ranked), 250)], axis=1)  # by columns: a kernel's table grows with its landmarks
         left = np.ones(len(ranked), bool)
         for k in range(len(ranked)):
             if left[k] and worth[ranked[k]] > 0 and len(chosen) < n * 3 // 4:
@@ -192,7 +195,8 @@ def fit(texts: list[str], toxic: list[int], n_landmarks: int = LANDMARKS, rounds
     share = float(y.mean()) if len(y) else 0.0
     if not len(y) or y.all() or not y.any():
         return Model(["the"], np.zeros(1, np.float32), 0.0, 0.0, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
-    docs = [sentences(t) for t in texts]
+    same: dict[str, str] = {}  # one object for each word, however often it occurs
+    docs = [[[same.setdefault(w, w) for w in s] for s in sentences(t)] for t in texts]
     held = np.arange(len(y)) % 5 == 4  # for the logistic curve
     train = np.flatnonzero(~held)
     landmarks = choose_landmarks([docs[i] for i in train], y[train], n_landmarks)

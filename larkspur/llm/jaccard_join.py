@@ -23,7 +23,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytewords import U, mix, shingle_sets, slices
@@ -35,6 +35,8 @@ COUNT_FRAGMENTS = 8
 #: Ids of documents in candidate pairs that are broadcast at most (8 bytes each) to pick their texts; beyond, a shuffle joins them.
 BROADCAST_IDS = 1_000_000
 SKETCH = [f"s{i}" for i in range(4)]
+#: Bits of the wide sketch, which rejects pairs of larger sets before their overlaps are counted.
+WIDE = 2048
 
 
 def size_classes(most: int, num: int, den: int) -> np.ndarray:
@@ -56,18 +58,20 @@ def _sums(sets: list[np.ndarray], salt: int) -> np.ndarray:
 
 
 def _profile(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, size, two hashes and the parity sketch of each set."""
+    """doc_id, size, two hashes, the parity sketch and the wide one of each set."""
     for batch in batches:
         for a, b in slices(batch.column(1)):
             sets = shingle_sets(batch.column(1).slice(a, b - a), n)
-            sketch = np.zeros((len(sets), 4), U)
+            sketch, wide = np.zeros((len(sets), 4), U), np.zeros((len(sets), WIDE // 64), U)
             for k, s in enumerate(sets):
-                odd = (np.bincount((s >> U(7)).astype(np.int64) & 255, minlength=256) & 1).astype(np.uint8)
-                sketch[k] = np.packbits(odd).view(U)
+                odd = (np.bincount((s >> U(7)).astype(np.int64) & (WIDE - 1), minlength=WIDE) & 1).astype(np.uint8)
+                wide[k] = np.packbits(odd).view(U)
+                sketch[k] = np.packbits(np.bitwise_xor.reduce(odd.reshape(-1, 256))).view(U)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(_sums(sets, 1).view(np.int64)), pa.array(_sums(sets, 2).view(np.int64)),
-                 *[pa.array(np.ascontiguousarray(sketch[:, i]).view(np.int64)) for i in range(4)]],
-                names=["doc_id", "n", "a", "b", *SKETCH],
+                 *[pa.array(np.ascontiguousarray(sketch[:, i]).view(np.int64)) for i in range(4)],
+                 pa.FixedSizeListArray.from_arrays(pa.array(wide.ravel().view(np.int64)), WIDE // 64).cast(pa.list_(pa.int64()))],
+                names=["doc_id", "n", "a", "b", *SKETCH, "wide"],
             )
 
 
@@ -139,6 +143,14 @@ def _may_link(num: int, den: int) -> Column:
     return (F.least("x_n", "y_n") * den >= F.greatest("x_n", "y_n") * num) & (apart * (den + num) <= total * (den - num))
 
 
+def _near(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (x, y, x_n, y_n) whose wide sketches allow the threshold."""
+    side = lambda p: nodes.select(F.col("id").alias(p), F.col("wide").alias(f"{p}_wide"))
+    apart = F.aggregate(F.zip_with("x_wide", "y_wide", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, k: s + k)
+    both = pairs.join(side("x"), "x").join(side("y"), "y")
+    return both.where(apart * (den + num) <= (F.col("x_n") + F.col("y_n")) * (den - num)).select("x", "y", "x_n", "y_n")
+
+
 def _linked(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs (x, y, x_n, y_n) that link: overlaps counted per fragment and summed per pair."""
     ids = cut(pairs.select(F.explode(F.array("x", "y")).alias("wanted")).distinct())
@@ -156,19 +168,21 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text): links are pairs with den * intersection >= num * union."""
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    profile = cut(docs.mapInArrow(partial(_profile, n=n), "doc_id long, n long, a long, b long, " + ", ".join(f"{s} long" for s in SKETCH)))
+    profile = cut(docs.mapInArrow(partial(_profile, n=n), "doc_id long, n long, a long, b long, " + ", ".join(f"{s} long" for s in SKETCH) + ", wide array<long>"))
     known = profile.where("n > 0 AND doc_id IS NOT NULL")
-    nodes = known.groupBy("a", "b", "n").agg(F.min("doc_id").alias("id"), *[F.first(s).alias(s) for s in SKETCH])
+    nodes = known.groupBy("a", "b", "n").agg(F.min("doc_id").alias("id"), *[F.first(s).alias(s) for s in [*SKETCH, "wide"]])
     # Rows of one document and documents of one set belong together.
     ties = known.join(nodes.select("a", "b", "n", "id"), ["a", "b", "n"]).where("doc_id <> id").select(F.col("doc_id").alias("x"), F.col("id").alias("y")).distinct()
     fragments = docs.where("doc_id IS NOT NULL").mapInArrow(partial(_fragments, n=n, num=num, den=den), "sig long, a long")
-    shared = fragments.groupBy("sig").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low <> high").select("sig", "low")
-    members = cut(fragments.join(shared, "sig").select("sig", "low", "a").distinct())
+    # One shuffle deals the fragments out; the smallest set of each bucket is found where its rows lie.
+    alike = Window.partitionBy("sig")
+    shared = fragments.select("sig", "a", F.min("a").over(alike).alias("low"), F.max("a").over(alike).alias("high")).where("low <> high")
+    members = cut(shared.select("sig", "low", "a").distinct())
 
     side = lambda p, key: nodes.select(F.col("a").alias(key), F.col("id").alias(p), F.col("n").alias(f"{p}_n"), *[F.col(s).alias(f"{p}_{s}") for s in SKETCH])
     keep = ["x", "y", "x_n", "y_n"]
     stars = members.where("a <> low").select("low", "a").distinct().join(side("x", "low"), "low").join(side("y", "a"), "a").where("x <> y").where(_may_link(num, den))
-    links = cut(_linked(cut(stars.select(keep).distinct()), docs, n, num, den).unionByName(ties))
+    links = cut(_linked(cut(_near(stars.select(keep).distinct(), nodes, num, den)), docs, n, num, den).unionByName(ties))
     found = components(links)
 
     # Members of a bucket that are still apart.
@@ -178,7 +192,8 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
     apart = cut(apart.join(mixed, "sig"))
     other = apart.select("sig", *[F.col(c).alias("y" + c[1:] if c != "c" else "d") for c in apart.columns if c != "sig"])
     rest = apart.join(other, "sig").where("x < y AND c <> d").where(_may_link(num, den)).select(keep).distinct()
-    rest = cut(rest.join(stars.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti"))
+    rest = rest.join(stars.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
+    rest = cut(_near(rest, nodes, num, den))
     if not rest.isEmpty():
         found = components(links.unionByName(_linked(rest, docs, n, num, den)))
     out = profile.select("doc_id", F.col("n").alias("n_shingles")).join(found, F.col("doc_id") == F.col("node"), "left")

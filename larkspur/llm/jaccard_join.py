@@ -10,7 +10,8 @@ Counts. For candidate pairs, overlaps are counted fragment by fragment and summe
 
 Equal sets are one node from the start. Within a bucket, members meet the smallest member first; only members that are still in different components
 meet each other, and a 256-bit parity sketch (its Hamming distance never exceeds the number of differing n-grams) rejects pairs inside the
-join. So a group of near copies costs a star, not all its pairs, and no link between components is lost.
+join, and one of 2,048 bits the pairs that are left before their overlaps are counted. So a group of near copies costs a star, not all its pairs, and no link
+between components is lost.
 
 Defined results: null or empty texts have empty sets and link with nothing; rows that share a doc_id are one document, and each row is returned; a null doc_id
 links with nothing and has a null component; an empty table gives an empty result.

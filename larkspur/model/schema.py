@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import copy
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import types as T
@@ -26,6 +27,7 @@ class Schema:
         self.definition, self.id_type, self.auto_index = definition, id_type, auto_index
         self.fields: dict[str, fd.Field] = {}
         self.aliases: dict[str, str] = {}
+        self.methods: dict[str, Callable] = {}
         self.indexes: list[dict] = list(indexes or [])
         self._declare("", definition)
         self.order = sorted(self.fields, key=lambda p: (p.count("."), p))
@@ -45,8 +47,27 @@ class Schema:
                 if alias in self.aliases or alias in definition_keys(self.definition):
                     raise SchemaError(f"Alias {alias} is taken")
                 self.aliases[alias] = path
-            if field.options.get("index"):
-                self.indexes.append({"paths": {path: field.options["index"]}, "unique": bool(field.options.get("unique"))})
+            if index := field.options.get("index"):
+                self.indexes.append(self._index(path, index, bool(field.options.get("unique"))))
+
+    @staticmethod
+    def _index(path: str, index: Any, unique: bool) -> dict:
+        """An index option, of its short or its long form (using, order, unique, name); an ordered one unless it says otherwise."""
+        if not isinstance(index, dict):
+            return {"paths": {path: index}, "unique": unique}
+        kind = {"gin": "gin", "btree": index.get("order", 1)}.get(index.get("using", "btree"))
+        return {"paths": {path: kind}, "unique": bool(index.get("unique", unique)), "name": index.get("name")}
+
+    def add_method(self, name: str, function: Callable) -> Schema:
+        """A method of the documents of this schema."""
+        if not isinstance(name, str) or not name.isidentifier():
+            raise SchemaError(f"Invalid method name: {name!r}")
+        if not callable(function):
+            raise SchemaError(f"Method {name} is no function")
+        if name in self.methods:
+            raise SchemaError(f"Method {name} exists")
+        self.methods[name] = function
+        return self
 
     def field(self, spec: Any) -> fd.Field:
         if isinstance(spec, fd.Field):

@@ -16,11 +16,11 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import ModelOverwriteError, QueryError, ValidationError
+from ..errors import ModelOverwriteError, QueryError, SchemaError, ValidationError
 from ..functions import paths
 from ..functions.values import parse_time, to_json_value
 from ..model.schema import Schema
-from ..model.tracker import Document
+from ..model.tracker import BASE, Document
 from ..operators.updates import Update
 from ..plans.query import Query
 
@@ -205,11 +205,13 @@ class Collection:
 
 def index_definitions(table: str, spec: dict, column: str = "data") -> list[dict]:
     """Named index definitions: ``True`` or ``"gin"`` is an index of a path's keys, 1 and -1 an ordered one; anything else is dropped."""
-    ordered = {p: k for p, k in spec["paths"].items() if k in (1, -1) and not isinstance(k, bool)}
+    ordered = {p: k for p, k in spec["paths"].items() if type(k) is int and k in (1, -1)}
     out = [{"name": f"idx_{table}_{column}_{p.replace('.', '_')}_gin".lower()[:63], "using": "gin", "paths": {p: 1}} for p, k in spec["paths"].items() if k is True or k == "gin"]
     if ordered:
         label = "_".join(f"{p.replace('.', '_')}_{'asc' if k == 1 else 'desc'}" for p, k in ordered.items())
         out.append({"name": f"idx_{table}_{column}_{label}_btree".lower()[:63], "using": "btree", "paths": ordered, "unique": bool(spec.get("unique"))})
+    if spec.get("name") and len(out) == 1:
+        out[0]["name"] = str(spec["name"])[:63]
     return out
 
 
@@ -234,6 +236,9 @@ class Connection:
             if self.models[name].schema is not schema:
                 raise ModelOverwriteError(f"Model {name} exists with another schema", model=name)
             return self.models[name]
+        taken = sorted(m for m in schema.methods if hasattr(Document, m) or m in {*BASE, "schema", "data", "is_new"})
+        if taken:
+            raise SchemaError(f"Methods that documents have already: {', '.join(taken)}")
         table = table or plural(name)
         self.models[name] = Collection(self.spark, f"{self.root}/{table}", schema, table)
         return self.models[name]

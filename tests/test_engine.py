@@ -7,10 +7,11 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.errors import ModelOverwriteError, QueryError, ValidationError
+from larkspur.errors import ModelOverwriteError, QueryError, SchemaError, ValidationError
 from larkspur.functions import paths, values
 from larkspur.model import fields
 from larkspur.model.schema import Schema
+from larkspur.model.tracker import Document
 from larkspur.operators.filters import FilterCompiler
 from larkspur.operators.updates import Update
 from larkspur.plans.query import Query
@@ -142,3 +143,51 @@ def test_filter_over_a_stream(spark, tmp_path):
     query = filter_stream(stream, {"v": {"$gte": 6}}).select("id").writeStream.format("memory").queryName("kept").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert sorted(r.id for r in spark.table("kept").collect()) == [6, 7, 8, 9]
+
+
+def test_live_documents():
+    s = Schema({"first": str, "last": {"type": str, "index": {"unique": True, "name": "by_last"}}, "address": {"city": {"type": str, "index": {"using": "gin"}}}, "n": {"type": float, "index": -1}})
+    s.add_method("full_name", lambda self, sep: f"{self.get('first')}{sep}{self.get('last')}")
+    for bad in ("full_name", "no name", 3):
+        with pytest.raises(SchemaError):
+            s.add_method(bad, print)
+    with pytest.raises(SchemaError):
+        s.add_method("x", None)
+    doc = Document(s, {"first": "a", "last": "b", "address": {"city": "x"}})
+    assert doc.full_name("-") == "a-b" and not hasattr(doc, "other")
+
+    seen, whole = [], []
+    stop = doc.watch("address.city", lambda new, old: seen.append((new, old)))
+    doc.watch("address", lambda new, old: whole.append((new, old)), immediate=True)
+    doc.set("first", "c")
+    with doc.batch():
+        doc.set("address.city", "y")
+        doc.set("address.city", "z")
+    assert seen == [("z", "x")] and whole == [({"city": "x"}, None), ({"city": "z"}, {"city": "x"})]
+    stop()
+    stop()
+    doc.unset("address.city")
+    assert len(seen) == 1 and whole[-1] == ({}, {"city": "z"})
+    doc.reset()
+    assert whole[-1] == ({"city": "x"}, {}) and doc.delta() == {"set": {}, "unset": []}
+
+    class View:
+        pass
+
+    view = doc.bind(View())
+    view.first = 7
+    doc.set("last", "q")
+    assert (doc.get("first"), view.first, view.last, view.id, view.address) == ("7", "7", "q", None, {"city": "x"}) and not hasattr(View(), "first")
+    taken = View()
+    taken.n = 1
+    with pytest.raises(ValidationError):
+        doc.bind(taken)
+
+    names = [(i["name"], i["using"], bool(i.get("unique"))) for spec in s.indexes for i in index_definitions("t", spec)]
+    assert names == [("by_last", "btree", True), ("idx_t_data_address_city_gin", "gin", False), ("idx_t_data_n_desc_btree", "btree", False)]
+    assert index_definitions("t", {"paths": {"a": {"no": 1}}}) == []
+
+
+def test_methods_must_not_hide_documents_own(spark, tmp_path):
+    with pytest.raises(SchemaError):
+        Connection(spark, str(tmp_path)).model("M", Schema({"a": str}).add_method("delta", print))

@@ -28,9 +28,10 @@ HEX = r"[0-9a-f]{32,}"
 VALUE = r"""(?i)^(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
 
 # Weak parts: what each may be, and a condition that is cheap to test first.
-OPAQUE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]{0,40}[0-9])(?=[A-Za-z0-9+/_-]{0,40}[A-Z])(?=[A-Za-z0-9+/_-]{0,40}[a-z])[A-Za-z0-9+/_-]{20,128}(?![A-Za-z0-9+/_-])"
-IDENTIFIER = r"""(?i)\b(?:user(?:name)?|login|client_?id|access_?key(?:_?id)?|account)["']?\x20?[:=]\x20?["']?[A-Za-z0-9_.@-]{3,64}"""
-ENDPOINT = r"(?i)\b(?:https?|ftp|postgres(?:ql)?|mysql|redis|amqp|mongodb|s3)://[^\s\"'<>]{4,200}"
+# Runs are possessive and have no upper bound: a part ends where its value ends. An opaque string may follow "=" directly (KEY=value).
+OPAQUE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])[A-Za-z0-9+/_-]{20,}+"
+IDENTIFIER = r"""(?i)\b(?:user(?:name)?|login|client_?id|access_?key(?:_?id)?|account)["']?\x20?[:=]\x20?["']?[A-Za-z0-9_.@-]{3,}+"""
+ENDPOINT = r"(?i)\b(?:https?|ftp|postgres(?:ql)?|mysql|redis|amqp|mongodb|s3)://[^\s\"'<>]{4,}+"
 
 
 def strong(text: Column) -> Column:

@@ -2,7 +2,8 @@
 
 Fixed masks select some of the tokens in a window and ignore the rest, so a window with substituted words still hashes as the benchmark's. Hashes
 of training windows meet those of benchmark windows in an equi-join; around each hit, the best run of aligned tokens (matches add one,
-substitutions take ``penalty``) must have enough matching tokens and identity.
+substitutions take ``penalty``) must have enough matching tokens and identity. If it has not, but the diagonal holds a run that has, that
+one counts: of all runs of enough matching tokens the one with most of them above ``min_identity`` of its length.
 
 Tokens are runs of letters and digits, in lower case. Hits that continue one of the window before are verified once, at the first window.
 
@@ -64,6 +65,26 @@ def _verified(penalty: float) -> Column:
     return F.aggregate(step, start, add)
 
 
+def _passing(k: Column, least: Column, min_identity: float) -> Column:
+    """Of the runs from match to match with at least so many matches the one whose matches exceed min_identity of its length by most: its first and last match.
+
+    k: the places of the diagonal's matches. A run from the a-th to the b-th exceeds by (b + 1 - min_identity (k[b] + 1)) - (a - min_identity k[a]), so for each b the best a is
+    the least of those that are far enough before; it passes if this is not negative, and if any run passes the chosen one does.
+    """
+    start = F.struct(F.lit(float("inf")).alias("low"), F.lit(0).alias("low_at"), F.lit(float("-inf")).alias("gain"), F.lit(0).alias("a"), F.lit(-1).alias("b"))
+
+    def add(acc: Column, b: Column) -> Column:
+        a = b - least + 1
+        own = a - min_identity * F.get(k, a)
+        low, low_at = F.least(acc["low"], own), F.when(own < acc["low"], a).otherwise(acc["low_at"])
+        gain = b + 1 - min_identity * (F.get(k, b) + 1) - low
+        more = gain > acc["gain"]
+        return F.struct(low.alias("low"), low_at.alias("low_at"), F.when(more, gain).otherwise(acc["gain"]).alias("gain"),
+                        F.when(more, low_at).otherwise(acc["a"]).alias("a"), F.when(more, b).otherwise(acc["b"]).alias("b"))
+
+    return F.aggregate(F.sequence(least - 1, F.size(k) - 1), start, add)
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", masks=MASKS,
              min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY, penalty: float = PENALTY, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """doc_id, item_id, n_tokens and n_same (of the best aligned run), start (token in the document), identity: the pairs that overlap."""
@@ -80,9 +101,18 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item
         met = windows(d, "h", "at", masks).select("d_key", "at", "mask", "seed").join(asked, (F.col("seed") == F.col("s")) & (F.col("mask") == F.col("m")))
         hits = met.join(items, "item_key").join(d.dropDuplicates(["d_key"]), "d_key")
     hits = hits.where(_first_of_run(masks)).withColumn("shift", F.col("at") - F.col("item_at"))
-    best = hits.select("doc_id", "item_id", F.size("item_h").alias("item_n"), _verified(penalty).alias("v"))
-    best = settle(best, "v").select("doc_id", "item_id", "item_n", "v.best_n", "v.best_same", "v.best_end")
-    good = best.where((F.col("best_same") >= F.least(F.lit(min_words), F.col("item_n"))) & (F.col("best_same") >= min_identity * F.col("best_n")))
+    least = F.least(F.lit(min_words), F.size("item_h"))
+    best = settle(hits.select("doc_id", "item_id", "h", "item_h", "shift", least.alias("least"), _verified(penalty).alias("v")), "v")
+    enough = lambda n, same: (same >= F.col("least")) & (same >= min_identity * n)
+    passes = enough(F.col("v.best_n"), F.col("v.best_same"))
+    # Only where the best run fails are the places of all matches wanted.
+    at = F.filter(F.expr("sequence(greatest(0, -shift), least(size(item_h), size(h) - shift) - 1)"), lambda j: F.get(F.col("item_h"), j) == F.get(F.col("h"), j + F.col("shift")))
+    best = settle(best.withColumn("k", F.when(passes, F.array().cast("array<int>")).otherwise(at)), "k")
+    best = settle(best.withColumn("r", F.when(F.size("k") >= F.col("least"), _passing(F.col("k"), F.col("least"), min_identity))), "r")
+    first, last = F.get("k", F.col("r.a")), F.get("k", F.col("r.b"))
+    best = best.select("doc_id", "item_id", "least", F.coalesce(last - first + 1, F.col("v.best_n")).alias("best_n"), F.coalesce(F.col("r.b") - F.col("r.a") + 1, F.col("v.best_same")).alias("best_same"),
+                       F.coalesce(last + F.col("shift"), F.col("v.best_end")).alias("best_end"))
+    good = best.where(enough(F.col("best_n"), F.col("best_same")))
     pairs = good.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("best_same").alias("n_same"), (-F.col("best_n")).alias("n"), (-(F.col("best_end") - F.col("best_n") + 1)).alias("s"))).alias("b"))
     return pairs.select("doc_id", "item_id", F.col("b.n_same").cast("long").alias("n_same"), (-F.col("b.n")).cast("long").alias("n_tokens"), (-F.col("b.s")).cast("long").alias("start"), (F.col("b.n_same") / -F.col("b.n")).alias("identity"))
 

@@ -224,6 +224,31 @@ def test_decontamination(spark, limit):
     assert (by[3, 0].n_same, by[3, 0].n_tokens, by[3, 0].start, by[3, 0].identity) == (40, 40, 50, 1.0) and by[4, 2].n_same == 35 and by[6, 4].n_same == 15
 
 
+def test_decontamination_keeps_runs_that_pass(spark):
+    """What is copied beside a passing run must not hide it; against all runs of a diagonal."""
+    import random
+
+    r = random.Random(7)
+    item = [f"i{k}" for k in range(58)]
+    third = lambda a, b: [f"x{k}" if (k - a) % 3 == 0 else item[k] for k in range(a, b)]
+    docs = [item[:10], item[:10] + third(10, 58), item[:20] + third(20, 58), third(0, 58)]
+    docs += [[w if r.random() < p else "other" for w in item] for p in (0.6, 0.68, 0.72, 0.76, 0.8) for _ in range(8)]
+
+    def passing(d):
+        same = [x == y for x, y in zip(d, item)]
+        return any(sum(same[a:b]) >= max(10, 0.75 * (b - a)) for a in range(len(same)) for b in range(a + 10, len(same) + 1))
+
+    def seeded(d):
+        same = [x == y for x, y in zip(d, item)]
+        return any(a + m[-1] < len(same) and all(same[a + i] for i in m) for m in decontaminate.MASKS for a in range(len(same)))
+
+    rows = decontaminate.overlaps(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string"), spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")).collect()
+    assert {g.doc_id for g in rows} == {i for i, d in enumerate(docs) if passing(d) and seeded(d)} >= {0, 1, 2}
+    for g in rows:
+        same = sum(x == y for x, y in list(zip(docs[g.doc_id], item))[g.start : g.start + g.n_tokens])
+        assert g.n_same == same >= max(10, 0.75 * g.n_tokens)
+
+
 def test_decontamination_finds_planted_items(spark):
     bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()

@@ -7,8 +7,8 @@ one counts: of all runs of enough matching tokens the one with most of them abov
 
 Tokens are runs of letters and digits, in lower case. Hits that continue one of the window before are verified once, at the first window.
 
-Defined results: null or empty texts match nothing; a document or item that occurs in several rows gives one row per pair of ids, the best; an item with
-fewer tokens than a mask is matched by nothing; one shorter than ``min_words`` must match whole.
+Defined results: null or empty texts match nothing; a document or item that occurs in several rows gives one row per pair of ids, the best; an item
+shorter than ``min_words`` must match whole, and is looked up by the hash of all of its tokens.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import settle
 
-#: Places that each mask looks at. Two masks find any run of 12 tokens with two substitutions at most positions.
-MASKS = ((0, 1, 3, 4, 6), (0, 1, 2, 5, 8))
+#: Places that each mask looks at. Every run of MIN_WORDS matches or more with MIN_IDENTITY holds all places of one of them (a test enumerates the runs); for lower limits there is no such promise.
+MASKS = ((0, 1, 2, 4, 5), (0, 1, 6, 8, 9), (0, 1, 5, 11, 12))
 MIN_WORDS, MIN_IDENTITY, PENALTY = 10, 0.75, 1.5
 #: Windows of the benchmark that are broadcast at most (about 32 bytes each, 64 MB); beyond, windows are joined by a shuffle.
 BROADCAST_WINDOWS = 2_000_000
@@ -91,7 +91,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item
     d = docs.select(F.col(doc_id).alias("doc_id"), token_hashes(F.col(text)).alias("h"))
     items = benchmark.select(F.col(item_id).alias("item_id"), token_hashes(F.col(text)).alias("item_h")).where("size(item_h) > 0").distinct()
     keyed = items.withColumn("item_key", F.xxhash64("item_id", "item_h"))
-    asked = windows(keyed, "item_h", "item_at", masks).select("item_key", "item_at", F.col("mask").alias("m"), F.col("seed").alias("s"))
+    short = max(min_words, min(m[-1] for m in masks) + 1)  # items of fewer tokens get a mask of their whole length
+    whole = [r[0] for r in items.select(F.size("item_h")).where(F.size("item_h") < short).distinct().collect()]
+    own = F.lit(False)
+    for k, n in enumerate(whole, len(masks)):
+        own = own | ((F.col("mask") == k) & (F.size("item_h") == n))
+    patterns, masks = len(masks), (*masks, *(tuple(range(n)) for n in whole))
+    asked = windows(keyed, "item_h", "item_at", masks).where((F.col("mask") < patterns) | own).select("item_key", "item_at", F.col("mask").alias("m"), F.col("seed").alias("s"))
     items = keyed
     if asked.limit(broadcast_windows + 1).count() <= broadcast_windows:
         hits = windows(d, "h", "at", masks).join(F.broadcast(asked), (F.col("seed") == F.col("s")) & (F.col("mask") == F.col("m")))

@@ -249,6 +249,30 @@ def test_decontamination_keeps_runs_that_pass(spark):
         assert g.n_same == same >= max(10, 0.75 * g.n_tokens)
 
 
+def test_masks_find_every_run_that_passes():
+    """A run of 20 matches or more splits into two of 10 or more, of which one passes as well; so runs of 10 to 19 matches are all that matter."""
+    import itertools
+
+    import numpy as np
+
+    left = np.array([(1 << n) - 1 - sum(1 << i for i in c) for k in range(10, 20) for n in range(k, k * 4 // 3 + 1) for c in itertools.combinations(range(1, n - 1), n - k)])
+    assert len(left) > 200_000
+    for m in decontaminate.MASKS:
+        places = sum(1 << i for i in m)
+        for at in range(25 - m[-1]):
+            left = left[left & (places << at) != places << at]
+    assert len(left) == 0
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_short_items_match_whole(spark, limit):
+    items = [[f"i{n}x{k}" for k in range(n)] for n in range(1, 13)]
+    docs = [["a", "b", *x, "c"] for x in items] + [["a", *x[:-1], "c"] for x in items[:9]] + [["a", *x[:1], "z", *x[2:]] for x in items[2:9]]
+    of = lambda rows, name: spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(rows)], f"{name} long, text string")
+    got = decontaminate.overlaps(of(docs, "doc_id"), of(items, "item_id"), broadcast_windows=limit).collect()
+    assert sorted((g.doc_id, g.item_id, g.start, g.n_same, g.n_tokens) for g in got) == [(i, i, 2, i + 1, i + 1) for i in range(12)]
+
+
 def test_decontamination_finds_planted_items(spark):
     bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()

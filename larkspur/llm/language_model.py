@@ -6,7 +6,8 @@ successors: ids made monotone by their context's offset, as one Elias-Fano seque
 successor search between its context's pointers, so it costs a few bits read in place and no table is held in memory.
 
 Smoothing is interpolated absolute discounting, p(w|v) = max(c(vw) - D, 0) / c(v) + D n(v) / c(v) p(w), with D = n1 / (n1 + 2 n2) and the additive unigram p(w) = (c + 0.1) / (N + 0.1 (V + 1)).
-Everything is counted over all training rows: partitions send each shard their distinct words and bigrams with counts, so a frequent pair is one entry per partition.
+Everything is counted over all training rows: partitions send each shard their distinct words and bigrams with counts, so a frequent pair is one entry per partition. n1 and n2 are
+summed over all shards before any shard is written, so scores depend on the number of shards only through the 8-bit codes.
 
 Tokens: lower-cased (A-Z) words and one end per text; the context of a text's first token is its start.
 
@@ -218,14 +219,25 @@ def _quantise(x: np.ndarray, bins: int = 256) -> tuple[np.ndarray, np.ndarray]:
     return code, np.bincount(code, x, minlength=bins) / np.maximum(n, 1)
 
 
-def _write_bigrams(group: pa.Table, path: str, offsets: list[int], n: int, v: int) -> pa.Table:
+def _merge_bigrams(group: pa.Table, path: str) -> pa.Table:
+    """Keep a shard's counted bigrams, and tell how many occur once and twice: the discount is of all shards."""
     shard = group.column("shard")[0].as_py()
     parts = [_expand(b) for b in group.column("blob").to_pylist()]
     keys, counts = _merge([p[0] for p in parts], [p[1] for p in parts])
+    _save(f"{path}/pairs-{shard}", {"blob": np.frombuffer(_squeeze(keys, counts), np.uint8)})
+    return pa.table({"shard": pa.array([shard], pa.int32()), "n1": pa.array([int((counts == 1).sum())], pa.int64()), "n2": pa.array([int((counts == 2).sum())], pa.int64())})
+
+
+def _write_shards(batches: Iterator[pa.RecordBatch], **how) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for shard in batch.column(0).to_pylist():
+            yield _write_bigrams(int(shard), **how)
+
+
+def _write_bigrams(shard: int, path: str, offsets: list[int], n: int, v: int, discount: float) -> pa.RecordBatch:
+    keys, counts = _expand(np.load(f"{path}/pairs-{shard}/blob.npy").tobytes())
     context, word = (keys >> U(32)).astype(np.int64), keys & U(2**32 - 1)
     size, total = offsets[shard + 1] - offsets[shard], offsets[-1]
-    n1, n2 = int((counts == 1).sum()), int((counts == 2).sum())
-    discount = n1 / (n1 + 2 * n2) if n1 else 0.5  # of the shard: shards are random samples of contexts
     seen, kinds = np.bincount(context, counts, minlength=size), np.bincount(context, minlength=size)
     weight = np.where(seen > 0, discount * kinds / np.maximum(seen, 1), 1.0)
     # The words' own probabilities: successors are of every shard, so they are looked up in level one by id.
@@ -234,7 +246,7 @@ def _write_bigrams(group: pa.Table, path: str, offsets: list[int], n: int, v: in
     back, back_book = _quantise(np.log10(np.maximum(weight, 1e-12)))
     pointers = np.concatenate(([0], np.cumsum(kinds)))
     _save(f"{path}/next-{shard}", _prefixed("pointer", pointers, int(pointers[-1]) + 1) | _prefixed("next", context.astype(U) * U(total) + word, max(size, 1) * total) | {"code": code, "book": book, "back": back, "back_book": back_book})
-    return pa.table({"shard": pa.array([shard], pa.int32()), "bigrams": pa.array([len(keys)], pa.int64())})
+    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(keys)], pa.int64())], names=["shard", "bigrams"])
 
 
 def _counts_of(path: str, offsets: list[int], ids: np.ndarray) -> np.ndarray:
@@ -313,7 +325,13 @@ def score(docs: DataFrame, train: DataFrame, text: str = "text", shards: int | N
     n, v = sum(r.tokens for r in words), sum(r.known for r in words)
     offsets = np.concatenate(([0], np.cumsum([sizes.get(s, 0) for s in range(shards)]))).tolist()
     if words:
-        learnt.mapInArrow(partial(_bigrams, path=path, offsets=offsets), BLOB).groupBy("shard").applyInArrow(lambda t: _write_bigrams(t, path, offsets, n, v), "shard int, bigrams long").collect()
+        pairs = learnt.mapInArrow(partial(_bigrams, path=path, offsets=offsets), BLOB).groupBy("shard").applyInArrow(lambda t: _merge_bigrams(t, path), "shard int, n1 long, n2 long").collect()
+        n1, n2 = sum(r.n1 for r in pairs), sum(r.n2 for r in pairs)
+        there = spark.createDataFrame([(r.shard,) for r in pairs], "shard int").repartition(len(pairs))
+        how = {"path": path, "offsets": offsets, "n": n, "v": v, "discount": n1 / (n1 + 2 * n2) if n1 else 0.5}
+        there.mapInArrow(partial(_write_shards, **how), "shard int, bigrams long").collect()
+        for r in pairs:
+            shutil.rmtree(f"{path}/pairs-{r.shard}")
     others = [c for c in docs.columns if c not in (text, "n_tokens", "n_known", "train_tokens", "base_score", "score")]
     ready = docs.select(*others, text)
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in ready.schema.fields[:-1])

@@ -67,6 +67,12 @@ def test_language_model_against_brute_force(spark):
     assert language_model.score(df.limit(0), train).count() == 0
 
 
+def test_scores_do_not_depend_on_shards(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(60)
+    one, many = ({r.doc_id: r for r in language_model.score(df, df, shards=k).collect()} for k in (1, 64))
+    assert all(many[i].score == pytest.approx(one[i].score, abs=0.01 * one[i].n_tokens + 0.02) for i in one)
+
+
 def test_language_model_beats_its_base_on_held_out_texts(spark):
     base, score = queries.op4_lm_scoring(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
     assert score > base

@@ -147,6 +147,19 @@ def test_pii_learns_to_add(spark):
     assert one[0].base == [] and one[1].base[0].kind == "email"
 
 
+def test_iban_candidates(spark):
+    own = {"NL": "NL91ABNA0417164300", "GB": "GB29NWBK60161331926819", "FR": "FR1420041010050500013M02606", "DE": "DE89370400440532013000", "NO": "NO9386011117947", "CH": "CH9300762011623852957"}
+    length = {"AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24}
+    compact = [own.get(c, c + "12" + "3A45B6C7D8E9F0G1H2J3K4L5"[: length[c] - 4]) for c in pii.IBAN_COUNTRIES] + ["MT84MALT011000012345MTLCAST001S", "HU42117730161111101800000000"]
+    assert all(len(x) == length.get(x[:2], len(x)) for x in compact)
+    values = compact + [" ".join(x[i : i + 4] for i in range(0, len(x), 4)) for x in compact if x[:2] != "MT"]
+    texts = [f"iban {v}{after}" for v in values for after in ("", ", then", " OK")]
+    body = F.col("text")
+    got = docs_of(spark, texts).select("doc_id", pii.candidates(body, spans.none()).alias("c")).orderBy("doc_id").collect()
+    for i, r in enumerate(got):
+        assert [(s.kind, s.value) for s in r.c] == [("iban", values[i // 3])], texts[i]
+
+
 SECRET_TEXTS = ["token:secret:longvalue123 PASSWORD = 'abcdefgh' password=abc token=token=abcdefgh12 api-key: 12345678", "AKIAABCDEFGHIJKL AKIAABC AKIAAKIAAKIAAKIA1", "f" * 32 + " " + "a" * 31,
                 "user=admin " + "x " * 20 + "Zk3" + "aB9x" * 8, "nothing here Zk3" + "aB9x" * 8, "see https://api.example.com/v1 and AbC123" + "dEf456" * 4, "just https://api.example.com/v1"]
 

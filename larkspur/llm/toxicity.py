@@ -30,27 +30,38 @@ SAMPLE_DOCS, SAMPLE_CHARS = 2_000, 20_000
 LANDMARKS, DECAY, SPAN, CODES = 64, 0.6, 6, 128
 #: Kernels made at once: each takes a row of numbers for every subsequence of its word.
 BLOCK = 128 * 1024
+#: Letters of a unit that are compared at once, and how many of them the next window repeats (a span and a landmark of up to 26 letters lie in one window).
+WINDOW, OVERLAP = 64, 32
 _PATTERNS = [(a, b, DECAY ** (b + 1)) for a in range(1, SPAN - 1) for b in range(a + 1, SPAN)]
 _SENTENCE = re.compile(r"[.!?]+(?=\s|$)|\n+")
 _INNER = re.compile(r"[\W\d_]+")
 
 
 def units(sentence: str) -> list[str]:
-    """Words in lower case, letters only (what is inserted between them goes); runs of single letters are one word."""
+    """Words in lower case, letters only (what is inserted between them goes); runs of single letters, with or without punctuation between them, are one word.
+
+    A longer unit than ``WINDOW`` is cut into overlapping windows that cover all of it.
+    """
     out, run = [], []
+
+    def add(w: str) -> None:
+        out.extend(w[k : k + WINDOW] for k in range(0, max(len(w) - OVERLAP, 1), WINDOW - OVERLAP))
+
     for w in sentence.lower().split():
         if not w.isalpha():
             w = _INNER.sub("", w)
+            if not w:
+                continue
         if len(w) == 1:
             run.append(w)
             continue
         if len(run) > 2:
-            out.append("".join(run))
+            add("".join(run))
         run = []
         if len(w) > 2:
-            out.append(w[:64])
+            add(w)
     if len(run) > 2:
-        out.append("".join(run))
+        add("".join(run))
     return out
 
 

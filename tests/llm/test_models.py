@@ -100,6 +100,15 @@ def test_kernel_tolerates_gaps_and_insertions():
         assert k([w])[0] == pytest.approx([slow(w, "idiot"), slow(w, "worthless")], abs=1e-5)
 
 
+def test_units_cover_whole_texts():
+    assert toxicity.units("i - d - i - o - t") == ["idiot"] and toxicity.units("a - word , b") == ["word"]
+    for n in (60, 64, 65, 96, 97, 128, 500):
+        long = ",".join(["blume"] * (n // 5) + ["x" * (n % 5)] + ["idiot"])
+        got, plain = toxicity.units(long), long.replace(",", "")
+        assert all(len(w) <= 64 for w in got) and got[0] == plain[:64] and any(w.endswith("idiot") for w in got)
+        assert all(any(plain[k : k + 32] in w for w in got) for k in range(len(plain) - 31))
+
+
 def test_toxicity_awkward_rows(spark):
     rng = np.random.default_rng(1)
     vocabulary = ["".join(rng.choice(list("aeioubcdfgklmnprst"), 6)) for _ in range(300)]

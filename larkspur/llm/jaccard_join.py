@@ -1,20 +1,21 @@
 """N-gram Jaccard join by vertical partitioning.
 
-The global order of n-grams is that of their 64-bit hashes. It is cut into fragments, and with it every document's set.
+Sets of n-grams (64-bit hashes) are cut along a global order of n-grams, and what each fragment says is counted by itself and summed.
 
-Candidates. Two sets of a class of sizes that reach the threshold differ in at most d n-grams, so of d + 1 + e fragments at least e + 1 are
-equal. One row per fragment carries a hash of the fragment's content; an equi-join finds every pair, and shared passages collide only where nothing
-else falls into the fragment. Fragments without n-grams count only for sets with more than e of them, which are next to none.
+1. First fragment. Of the n-grams in one range of the hash order, each set's partial count of those that no other set has is taken. A set that misses more
+   than 1 - num / den of its size links with nothing, whatever the other fragments hold, and leaves here: most sets do. One shuffle of a fraction of all
+   n-grams; an n-gram that occurs often in a task is sent for two of its sets only, the others know already that it is shared.
+2. The sets that are left are ordered by ascending frequency among themselves, ties by hash. Links share an n-gram of both prefixes, and at the first shared one at
+   places i and j the sets differ in i + j n-grams or more. N-grams that one set alone has come first and meet nothing, so passages and copies below the threshold
+   make no pairs.
+3. Overlaps of candidate pairs are counted in each fragment and summed per pair, which decides exactly.
 
-Counts. For candidate pairs, overlaps are counted fragment by fragment and summed per pair, which decides exactly.
-
-Equal sets are one node from the start. Within a bucket, members meet the smallest member first; only members that are still in different components
-meet each other, and a 256-bit parity sketch (its Hamming distance never exceeds the number of differing n-grams) rejects pairs inside the
-join, and one of 2,048 bits the pairs that are left before their overlaps are counted. So a group of near copies costs a star, not all its pairs, and no link
-between components is lost.
+Equal sets are one node from the start. In the bucket of a prefix n-gram all members meet one centre first, the one with the least share of n-grams of its own; members that
+are in another component than the centre's then meet the members of the others, dealt over blocks, where places, sizes and two parity sketches (of 256 and 2,048 bits: their
+Hamming distance never exceeds the number of differing n-grams) allow a link. So a group of near copies costs a star, not all its pairs, and no link between components is lost.
 
 Defined results: null or empty texts have empty sets and link with nothing; rows that share a doc_id are one document, and each row is returned; a null doc_id
-links with nothing and has a null component; an empty table gives an empty result.
+links with nothing and has a null component; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,29 +30,24 @@ from pyspark.sql import functions as F
 
 from .bytewords import U, mix, shingle_sets, slices
 from .components import components
-from .storage import cut, ship
+from .storage import forget, ship, written
 
 #: Fragments in which overlaps are counted.
-COUNT_FRAGMENTS = 8
-#: Ids of documents in candidate pairs that are broadcast at most (8 bytes each) to pick their texts; beyond, a shuffle joins them.
+FRAGMENTS = 8
+#: Ids of documents that are broadcast at most (8 bytes each) to pick their texts; beyond, a shuffle joins them.
 BROADCAST_IDS = 1_000_000
-SKETCH = [f"s{i}" for i in range(4)]
-#: Bits of the wide sketch, which rejects pairs of larger sets before their overlaps are counted.
+#: Members of a bucket that one task compares with those that are still apart.
+BLOCK = 1024
+#: Bits of the wide sketch; the narrow one folds it into 256.
 WIDE = 2048
+NARROW = [f"s{i}" for i in range(4)]
+#: Rows sent at once.
+ROWS = 1 << 17
 
 
-def size_classes(most: int, num: int, den: int) -> np.ndarray:
-    """First size of each class: sets that link are of one class or of neighbouring ones."""
-    firsts = [1]
-    while firsts[-1] <= most:
-        firsts.append(max(firsts[-1] + 1, -(-firsts[-1] * den // num)))
-    return np.array(firsts + [max(firsts[-1] + 1, -(-firsts[-1] * den // num))], np.int64)
-
-
-def cuts(firsts: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each class: d, the most n-grams in which two linked sets of at most its sizes differ, and e."""
-    d = 2 * (firsts[1:] - 1) * (den - num) // (den + num)
-    return d, 1 + d // 16
+def first_fragment(num: int, den: int) -> int:
+    """Where the first fragment of the hash order ends: it holds 7/4 of the share in which linked sets may differ, so that common n-grams leave room."""
+    return min(2**64 - 1, 2**64 * 7 * (den - num) // (4 * den))
 
 
 def _sums(sets: list[np.ndarray], salt: int) -> np.ndarray:
@@ -59,150 +55,189 @@ def _sums(sets: list[np.ndarray], salt: int) -> np.ndarray:
 
 
 def _profile(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, size, two hashes, the parity sketch and the wide one of each set."""
+    """doc_id, size and two hashes of each set."""
     for batch in batches:
         for a, b in slices(batch.column(1)):
             sets = shingle_sets(batch.column(1).slice(a, b - a), n)
-            sketch, wide = np.zeros((len(sets), 4), U), np.zeros((len(sets), WIDE // 64), U)
-            for k, s in enumerate(sets):
-                odd = (np.bincount((s >> U(7)).astype(np.int64) & (WIDE - 1), minlength=WIDE) & 1).astype(np.uint8)
-                wide[k] = np.packbits(odd).view(U)
-                sketch[k] = np.packbits(np.bitwise_xor.reduce(odd.reshape(-1, 256))).view(U)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(_sums(sets, 1).view(np.int64)), pa.array(_sums(sets, 2).view(np.int64)),
-                 *[pa.array(np.ascontiguousarray(sketch[:, i]).view(np.int64)) for i in range(4)],
-                 pa.FixedSizeListArray.from_arrays(pa.array(wide.ravel().view(np.int64)), WIDE // 64).cast(pa.list_(pa.int64()))],
-                names=["doc_id", "n", "a", "b", *SKETCH, "wide"],
-            )
-
-
-def signatures(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of fragments, and the set that each belongs to: under the cut of a set's class of sizes and of the next one."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    if not sizes.sum():
-        return np.zeros(0, U), np.zeros(0, np.int64)
-    firsts = size_classes(int(sizes.max()), num, den)
-    d, e = cuts(firsts, num, den)
-    own = np.searchsorted(firsts, np.maximum(sizes, 1), "right") - 1
-    grams, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    content = mix(grams + U(3))
-    all_h, all_o = [], []
-    for c in (own, np.minimum(own + 1, len(d) - 1)):
-        k = np.where(d[c] > 0, d[c] + 1 + e[c], 0)  # with d = 0 only equal sets link
-        use = k[owner] > 0
-        if not use.any():
-            continue
-        o, g, x = owner[use], grams[use], content[use]
-        cell = ((g >> U(32)) * k[o].astype(U)) >> U(32)
-        new = np.flatnonzero(np.concatenate(([True], (o[1:] != o[:-1]) | (cell[1:] != cell[:-1]))))
-        tag = lambda kk, cc: mix(kk.astype(U) << U(32) | cc.astype(U))
-        all_h.append(mix(np.add.reduceat(x, new) + tag(k[o[new]], cell[new])))
-        all_o.append(o[new])
-        empty = k - np.bincount(o[new], minlength=len(sets))
-        for i in np.flatnonzero((k > 0) & (empty > e[c])):
-            missing = np.setdiff1d(np.arange(k[i]), cell[new][o[new] == i].astype(np.int64))
-            all_h.append(mix(tag(np.full(len(missing), k[i]), missing)))
-            all_o.append(np.full(len(missing), i))
-    if not all_h:
-        return np.zeros(0, U), np.zeros(0, np.int64)
-    return np.concatenate(all_h), np.concatenate(all_o)
-
-
-def _fragments(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """sig, a: fragment hashes with the set's hash; sets that repeat in a slice are given once."""
+                [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(_sums(sets, 1).view(np.int64)), pa.array(_sums(sets, 2).view(np.int64))], names=["doc_id", "n", "a", "b"])
+
+
+def local_counts(sets: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the n-grams below end: hashes and owners of those to be sent (the first and the last owner of each), and per set minus those that are not known to be shared and not sent."""
+    part = [s[: np.searchsorted(s, U(end))] for s in sets]
+    size = np.array([len(s) for s in part], np.int64)
+    g, o = np.concatenate([*part, np.zeros(0, U)]), np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(g, kind="stable")
+    g, o = g[order], o[order]
+    new = np.concatenate(([True], g[1:] != g[:-1])) if len(g) else np.zeros(0, bool)
+    sent = new | np.concatenate((new[1:], [True]))[: len(g)]
+    return g[sent], o[sent], np.bincount(o[~sent], minlength=len(sets)) - size
+
+
+def _first(batches: Iterator[pa.RecordBatch], n: int, end: int) -> Iterator[pa.RecordBatch]:
+    """g, a, k: an n-gram of set a (k = 1), or for each set once in a task a row with its balance (k <= 0): shared n-grams not sent less all n-grams of the fragment."""
+    seen: set[int] = set()
     for batch in batches:
         for p, q in slices(batch.column(1)):
             sets = shingle_sets(batch.column(1).slice(p, q - p), n)
             a = _sums(sets, 1)
-            once = np.unique(a, return_index=True)[1]
+            once = [i for i in np.unique(a, return_index=True)[1].tolist() if len(sets[i]) and int(a[i]) not in seen]
             sets, a = [sets[i] for i in once], a[once]
-            h, o = signatures(sets, num, den)
-            for k in range(0, max(len(h), 1), 1 << 17):
-                yield pa.RecordBatch.from_arrays([pa.array(h[k : k + (1 << 17)].view(np.int64)), pa.array(a[o[k : k + (1 << 17)]].view(np.int64))], names=["sig", "a"])
+            seen.update(a.tolist())
+            g, o, balance = local_counts(sets, end)
+            g, own, k = np.concatenate([g, a]), np.concatenate([a[o], a]), np.concatenate([np.ones(len(o), np.int32), balance.astype(np.int32)])
+            for at in range(0, max(len(g), 1), ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + ROWS]) for x in (g.view(np.int64), own.view(np.int64), k)], names=["g", "a", "k"])
 
 
-def _segments(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """id, fragment, grams: each set in COUNT_FRAGMENTS ranges of the global order, empty ones left out."""
+def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """a, fragment, grams: each set in FRAGMENTS ranges of the hash order, empty ones left out; fragment -1 holds the wide sketch."""
+    edges = np.arange(FRAGMENTS + 1, dtype=U)
     for batch in batches:
         for p, q in slices(batch.column(1)):
-            sets, ids = shingle_sets(batch.column(1).slice(p, q - p), n), batch.column(0).slice(p, q - p).to_pylist()
+            sets = shingle_sets(batch.column(1).slice(p, q - p), n)
             rows: tuple[list, list, list] = ([], [], [])
-            for i, s in zip(ids, sets, strict=True):
-                at = np.searchsorted(((s >> U(32)) * U(COUNT_FRAGMENTS)) >> U(32), np.arange(COUNT_FRAGMENTS + 1, dtype=U))
-                for f in range(COUNT_FRAGMENTS):
-                    if at[f] < at[f + 1]:
-                        rows[0].append(i)
-                        rows[1].append(f)
-                        rows[2].append(s[at[f] : at[f + 1]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.list_(pa.int64()))], names=["id", "fragment", "grams"])
+            for key, s in zip(_sums(sets, 1).view(np.int64).tolist(), sets, strict=True):
+                odd = (np.bincount((s >> U(7)).astype(np.int64) & (WIDE - 1), minlength=WIDE) & 1).astype(np.uint8)
+                at = np.searchsorted(((s >> U(32)) * U(FRAGMENTS)) >> U(32), edges)
+                parts = [(-1, np.packbits(odd).view(np.int64))] + [(f, s[at[f] : at[f + 1]].view(np.int64)) for f in range(FRAGMENTS) if at[f] < at[f + 1]]
+                for f, x in parts:
+                    for column, value in zip(rows, (key, f, x), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.list_(pa.int64()))], names=["a", "fragment", "grams"])
+
+
+def _live(docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The nodes (a, n, id) whose first fragment allows a link."""
+    rows = docs.where("doc_id IS NOT NULL").mapInArrow(partial(_first, n=n, end=first_fragment(num, den)), "g long, a long, k int")
+    alike = Window.partitionBy("g")
+    told = rows.select("a", "k", F.min("a").over(alike).alias("low"), F.max("a").over(alike).alias("high")).where("k <= 0 OR low <> high")
+    # A set is counted once in each task that has it, so its sums are multiples of the number of those tasks.
+    summed = told.groupBy("a").agg(F.sum("k").alias("balance"), F.sum(F.when(F.col("k") <= 0, 1).otherwise(0)).alias("tasks"))
+    return nodes.join(summed, "a").where((F.col("n") * F.col("tasks") + F.col("balance")) * den >= F.col("n") * F.col("tasks") * num).select("a", "n", "id")
+
+
+def _prefixes(sets: DataFrame, live: DataFrame, num: int, den: int) -> DataFrame:
+    """g, a, n, i, own: the n-grams of each set's prefix that other live sets have too, their places and how many come first that none has."""
+    grams = sets.where("fragment >= 0").select("a", F.explode("grams").alias("g"))
+    shared = grams.select("a", "g", F.count("*").over(Window.partitionBy("g")).alias("df")).where("df > 1")
+    ordered = shared.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("s")).join(live, "a")
+    ordered = ordered.withColumn("own", F.col("n") - F.size("s")).withColumn("take", F.expr(f"n - (n * {num} + {den - 1}) div {den} + 1 - own").cast("int")).where("take > 0")
+    prefix = ordered.select("a", "n", "own", F.posexplode(F.slice("s", F.lit(1), F.col("take"))).alias("place", "e"))
+    return prefix.select(F.col("e.g").alias("g"), "a", "n", (F.col("place") + F.col("own")).alias("i"), "own")
 
 
 def _may_link(num: int, den: int) -> Column:
-    """Sizes and sketches of x and y allow the threshold."""
-    apart = sum((F.bit_count(F.col(f"x_{s}").bitwiseXOR(F.col(f"y_{s}"))) for s in SKETCH[1:]), F.bit_count(F.col("x_s0").bitwiseXOR(F.col("y_s0"))))
+    """Sizes and places of x and y allow the threshold."""
     total = F.col("x_n") + F.col("y_n")
-    return (F.least("x_n", "y_n") * den >= F.greatest("x_n", "y_n") * num) & (apart * (den + num) <= total * (den - num))
+    return (F.least("x_n", "y_n") * den >= F.greatest("x_n", "y_n") * num) & ((F.col("x_i") + F.col("y_i")) * (den + num) <= total * (den - num))
 
 
-def _near(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (x, y, x_n, y_n) whose wide sketches allow the threshold."""
-    side = lambda p: nodes.select(F.col("id").alias(p), F.col("wide").alias(f"{p}_wide"))
-    apart = F.aggregate(F.zip_with("x_wide", "y_wide", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, k: s + k)
-    both = pairs.join(side("x"), "x").join(side("y"), "y")
-    return both.where(apart * (den + num) <= (F.col("x_n") + F.col("y_n")) * (den - num)).select("x", "y", "x_n", "y_n")
+def _apart(x: Column, y: Column) -> Column:
+    """Hamming distance of two sketches."""
+    return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, k: s + k)
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (x, y, x_n, y_n) that link: overlaps counted per fragment and summed per pair."""
-    ids = cut(pairs.select(F.explode(F.array("x", "y")).alias("wanted")).distinct())
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    wanted = docs.join(F.broadcast(ids) if few else ids, docs.doc_id == ids.wanted, "left_semi").select("doc_id", "text")
-    segments = wanted.mapInArrow(partial(_segments, n=n), "id long, fragment int, grams array<long>")
-    left = pairs.join(segments.select(F.col("id").alias("x"), "fragment", F.col("grams").alias("x_grams")), "x")
-    both = left.join(segments.select(F.col("id").alias("y"), "fragment", F.col("grams").alias("y_grams")), ["y", "fragment"])
+def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (x, y, x_n, y_n) that link: what the wide sketches leave, with overlaps counted per fragment and summed per pair."""
+    side = lambda p, f: sets.where(f).select(F.col("a").alias(p), "fragment", F.col("grams").alias(f"{p}_grams"))
+    both = pairs.join(side("x", "fragment = -1").drop("fragment"), "x").join(side("y", "fragment = -1").drop("fragment"), "y")
+    near = both.where(_apart(F.col("x_grams"), F.col("y_grams")) * (den + num) <= (F.col("x_n") + F.col("y_n")) * (den - num)).select("x", "y", "x_n", "y_n")
+    near = written(near, "pairs")
+    both = near.join(side("x", "fragment >= 0"), "x").join(side("y", "fragment >= 0"), ["y", "fragment"])
     overlap = both.select("x", "y", "x_n", "y_n", F.size(F.array_intersect("x_grams", "y_grams")).cast("long").alias("part"))
     summed = overlap.groupBy("x", "y").agg(F.first("x_n").alias("x_n"), F.first("y_n").alias("y_n"), F.sum("part").alias("o"))
-    return summed.where(F.col("o") * den >= (F.col("x_n") + F.col("y_n") - F.col("o")) * num).select("x", "y")
+    out = written(summed.where(F.col("o") * den >= (F.col("x_n") + F.col("y_n") - F.col("o")) * num).select("x", "y"), "linked")
+    forget(near)
+    return out
+
+
+def _stars(prefix: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """The centre of each bucket (g, centre, size), and the pairs of members with it that may link."""
+    first = F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "a", "n", "i"))
+    centres = prefix.groupBy("g").agg(first.alias("c"), F.count("*").alias("size")).where("size > 1")
+    pairs = prefix.join(centres, "g").where("a <> c.a").select(F.col("c.a").alias("x"), F.col("a").alias("y"), F.col("c.n").alias("x_n"), F.col("n").alias("y_n"), F.col("c.i").alias("x_i"), F.col("i").alias("y_i"))
+    return centres.select("g", F.col("c.a").alias("centre"), "size"), pairs.where(_may_link(num, den)).select("x", "y", "x_n", "y_n").distinct()
+
+
+def _others(prefix: DataFrame, centres: DataFrame, placed: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs that may link of members that are in another component than their bucket's centre, with members of the other components. placed: a, c."""
+    member = prefix.join(placed, "a").join(centres.join(placed.select(F.col("a").alias("centre"), F.col("c").alias("c0")), "centre"), "g")
+    told = member.select("g", "a", "n", "i", "c", "c0", "size", F.max(F.col("c") != F.col("c0")).over(Window.partitionBy("g")).alias("mixed"))
+    mixed = written(told.where("mixed").drop("mixed"), "members")
+    folded = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.aggregate(F.sequence(k, F.lit(WIDE // 64 - 1), F.lit(4)), F.lit(0).cast("long"), lambda s, j: s.bitwiseXOR(F.get(F.col("grams"), j))))
+    sketch = sets.where("fragment = -1").select("a", F.col("grams").alias("wide"), folded.alias("f")).select("a", "wide", *[F.col("f")[k].alias(s) for k, s in enumerate(NARROW)])
+    side = mixed.join(sketch.join(mixed.select("a").distinct(), "a", "left_semi"), "a")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    named = lambda df, p: df.select("g", "block", *[F.col(c).alias(f"{p}_{c}") for c in ("a", "n", "i", "c", "wide", *NARROW)])
+    left = named(side.where("c <> c0").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))), "x")
+    right = named(side.withColumn("block", F.pmod(F.xxhash64("a"), blocks).cast("int")), "y")
+    total = (F.col("x_n") + F.col("y_n")) * (den - num)
+    narrow = sum((F.bit_count(F.col(f"x_{s}").bitwiseXOR(F.col(f"y_{s}"))) for s in NARROW[1:]), F.bit_count(F.col("x_s0").bitwiseXOR(F.col("y_s0"))))
+    allowed = (F.col("x_c") != F.col("y_c")) & _may_link(num, den) & (narrow * (den + num) <= total) & (_apart(F.col("x_wide"), F.col("y_wide")) * (den + num) <= total)
+    met = left.alias("l").join(right.alias("r"), (F.col("l.g") == F.col("r.g")) & (F.col("l.block") == F.col("r.block")) & allowed)
+    first = F.col("x_a") < F.col("y_a")
+    way = lambda p, q: F.when(first, F.col(p)).otherwise(F.col(q))
+    return met.select(way("x_a", "y_a").alias("x"), way("y_a", "x_a").alias("y"), way("x_n", "y_n").alias("x_n"), way("y_n", "x_n").alias("y_n")).distinct()
+
+
+def _groups(docs: DataFrame, nodes: DataFrame, repeated: bool, ties: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """node and component of the nodes' ids."""
+    live = written(_live(docs, nodes, n, num, den), "live")
+    ids = live.select(F.col("id").alias("wanted")).distinct()
+    few = live.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    wanted = docs.join(F.broadcast(ids) if few else ids, docs.doc_id == ids.wanted, "left_semi").select("doc_id", "text")
+    sets = wanted.mapInArrow(partial(_sets, n=n), "a long, fragment int, grams array<long>")
+    if repeated:  # one id in several rows: of its sets the live ones, once
+        sets = sets.join(live.select("a"), "a", "left_semi").dropDuplicates(["a", "fragment"])
+    sets = written(sets, "sets")
+    prefix = written(_prefixes(sets, live, num, den), "prefixes")
+    centres, stars = _stars(prefix, num, den)
+    centres, stars = written(centres, "centres"), written(stars, "stars")
+    name = lambda links: links.join(live.select(F.col("a").alias("x"), F.col("id").alias("p")), "x").join(live.select(F.col("a").alias("y"), F.col("id").alias("q")), "y").select(F.col("p").alias("x"), F.col("q").alias("y"))
+    links = _linked(stars, sets, num, den)
+    found = components(name(links).unionByName(ties))
+    placed = live.select("a", "id").join(found, F.col("id") == F.col("node"), "left").select("a", F.coalesce("component", "id").alias("c"))
+    both = F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")
+    rest = written(_others(prefix, centres, placed, sets, num, den).join(stars.select(*both), ["x", "y"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        more = _linked(rest, sets, num, den)
+        found = components(name(links.unionByName(more)).unionByName(ties))
+        forget(more)
+    forget(live, sets, prefix, centres, stars, links, rest)
+    return found
 
 
 def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text): links are pairs with den * intersection >= num * union."""
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    profile = cut(docs.mapInArrow(partial(_profile, n=n), "doc_id long, n long, a long, b long, " + ", ".join(f"{s} long" for s in SKETCH) + ", wide array<long>"))
+    profile = written(docs.mapInArrow(partial(_profile, n=n), "doc_id long, n long, a long, b long"), "profile")
     known = profile.where("n > 0 AND doc_id IS NOT NULL")
-    nodes = known.groupBy("a", "b", "n").agg(F.min("doc_id").alias("id"), *[F.first(s).alias(s) for s in [*SKETCH, "wide"]])
-    # Rows of one document and documents of one set belong together.
-    ties = known.join(nodes.select("a", "b", "n", "id"), ["a", "b", "n"]).where("doc_id <> id").select(F.col("doc_id").alias("x"), F.col("id").alias("y")).distinct()
-    fragments = docs.where("doc_id IS NOT NULL").mapInArrow(partial(_fragments, n=n, num=num, den=den), "sig long, a long")
-    # One shuffle deals the fragments out; the smallest set of each bucket is found where its rows lie.
-    alike = Window.partitionBy("sig")
-    shared = fragments.select("sig", "a", F.min("a").over(alike).alias("low"), F.max("a").over(alike).alias("high")).where("low <> high")
-    members = cut(shared.select("sig", "low", "a").distinct())
-
-    side = lambda p, key: nodes.select(F.col("a").alias(key), F.col("id").alias(p), F.col("n").alias(f"{p}_n"), *[F.col(s).alias(f"{p}_{s}") for s in SKETCH])
-    keep = ["x", "y", "x_n", "y_n"]
-    stars = members.where("a <> low").select("low", "a").distinct().join(side("x", "low"), "low").join(side("y", "a"), "a").where("x <> y").where(_may_link(num, den))
-    links = cut(_linked(cut(_near(stars.select(keep).distinct(), nodes, num, den)), docs, n, num, den).unionByName(ties))
-    found = components(links)
-
-    # Members of a bucket that are still apart.
-    placed = side("x", "a").join(found, F.col("x") == F.col("node"), "left").withColumn("c", F.coalesce("component", "x")).drop("node", "component")
-    apart = members.select("sig", "a").join(placed, "a").drop("a")
-    mixed = apart.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("sig")
-    apart = cut(apart.join(mixed, "sig"))
-    other = apart.select("sig", *[F.col(c).alias("y" + c[1:] if c != "c" else "d") for c in apart.columns if c != "sig"])
-    rest = apart.join(other, "sig").where("x < y AND c <> d").where(_may_link(num, den)).select(keep).distinct()
-    rest = rest.join(stars.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
-    rest = cut(_near(rest, nodes, num, den))
-    if not rest.isEmpty():
-        found = components(links.unionByName(_linked(rest, docs, n, num, den)))
-    out = profile.select("doc_id", F.col("n").alias("n_shingles")).join(found, F.col("doc_id") == F.col("node"), "left")
+    nodes = written(known.groupBy("a", "b", "n").agg(F.min("doc_id").alias("id")), "nodes")
+    # Documents of one set belong together. They are named in two levels, by a salted part of them and by all parts: a text that fills a third of the table is no one task's.
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    named = known.select("doc_id", "a", F.min("doc_id").over(Window.partitionBy("a", "b", "n", salt)).alias("part"), "b", "n")
+    parts = named.select("part", "a", "b", "n").distinct().join(nodes, ["a", "b", "n"]).select("part", "a", "id")
+    # Rows of one document belong together, whatever their texts are.
+    again = known.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    repeated = not again.isEmpty()
+    if repeated:
+        own = named.join(again, "doc_id").join(parts, ["part", "a"]).select("doc_id", "id").distinct()
+        ties = own.select(F.col("id").alias("x"), F.min("id").over(Window.partitionBy("doc_id")).alias("y"))
+    else:
+        ties = spark.createDataFrame([], "x long, y long")
+    found = _groups(docs, nodes, repeated, ties, n, num, den)
+    settled = parts.join(found, F.col("id") == F.col("node"), "left").select("part", "a", F.coalesce("component", "id").alias("component"))
+    of = named.join(settled, ["part", "a"]).select(F.col("doc_id").alias("node"), "component").distinct()
+    out = profile.select("doc_id", F.col("n").alias("n_shingles")).join(of, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def one_per_group(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs with one row of each group: that of the smallest doc_id; rows without an id all stay."""
-    groups = join(docs, n, num, den).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.where("doc_id IS NOT NULL").join(groups, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    groups = join(docs, n, num, den).where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.where("doc_id IS NOT NULL").join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))

@@ -29,6 +29,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str = "step") -> DataFrame:
+    """df as a Parquet table in the shared folder, read again. ``forget`` deletes it once nothing reads it any more."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._larkspur_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made."""
+    for df in tables:
+        remove(df.sparkSession, df._larkspur_path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system holds it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

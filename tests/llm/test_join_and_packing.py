@@ -78,17 +78,53 @@ def test_join_of_nothing_and_one_per_group(spark):
     assert sorted(str(r.doc_id) for r in jaccard_join.one_per_group(df).collect()) == ["2", "7", "9", "None"]
 
 
-def test_signatures_lose_no_pair():
+def test_first_fragment_counts():
+    """Sent rows and balances together count what no other set has, however sets are dealt over tasks."""
     rng = np.random.default_rng(0)
-    for num, den in ((90, 100), (80, 100), (60, 100)):
-        for _ in range(300):
-            size = int(rng.integers(1, 300))
-            a = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
-            b = np.unique(np.concatenate([a[rng.random(len(a)) > rng.random() * 0.3], rng.integers(0, 2**64, int(rng.integers(0, 1 + size // 8)), dtype=np.uint64)]))
-            o = len(np.intersect1d(a, b))
-            h, owner = jaccard_join.signatures([a, b], num, den)
-            meet = bool(set(h[owner == 0].tolist()) & set(h[owner == 1].tolist())) or np.array_equal(a, b)
-            assert meet or o * den < (len(a) + len(b) - o) * num
+    for num in (90, 80, 60, 10):
+        end = jaccard_join.first_fragment(num, 100)
+        pool = rng.integers(0, 2**64, 400, dtype=np.uint64)
+        sets = [np.unique(np.concatenate([rng.choice(pool, 60), rng.integers(0, 2**64, 20, dtype=np.uint64)])) for _ in range(30)]
+        df = {}
+        for s in sets:
+            for g in s.tolist():
+                df[g] = df.get(g, 0) + 1
+        want = [sum(df[g] == 1 for g in s[: np.searchsorted(s, np.uint64(end))].tolist()) for s in sets]
+        owners, balance = {}, [0] * len(sets)
+        for task in (range(0, 11), range(11, 12), range(12, 30)):
+            g, o, k = jaccard_join.local_counts([sets[i] for i in task], end)
+            for x, y in zip(g.tolist(), o.tolist(), strict=True):
+                owners.setdefault(x, []).append(task[y])
+            for y, v in enumerate(k.tolist()):
+                balance[task[y]] += v
+        for own in owners.values():
+            for i in own:
+                balance[i] += len(set(own)) > 1
+        assert [-b for b in balance] == want
+    assert len(jaccard_join.local_counts([], 5)[0]) == 0
+
+
+@pytest.mark.parametrize("block", [1024, 3])
+def test_join_of_groups_at_the_threshold(spark, monkeypatch, block):
+    """Near copies of which some pairs link and some do not, chains, and passages that many share: against brute force, with many blocks too."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    r = random.Random(11)
+    passage, rows = [f"p{i}" for i in range(60)], []
+    for group in range(4):
+        base = [f"g{group}w{i}" for i in range(r.choice([40, 60, 90]))]
+        for _ in range(14):
+            near = list(base)
+            for k in r.sample(range(len(base)), r.choice([0, 1, 2, 3])):
+                near[k] = r.choice(["edit", f"e{r.random()}"])
+            rows.append(" ".join(near))
+        for k in range(10):  # a chain: each drops one more word in front
+            rows.append(" ".join(base[k:] + [f"t{group}x{j}" for j in range(k)]))
+    rows += [" ".join(passage + [f"u{i}x{j}" for j in range(r.choice([5, 20, 60]))]) for i in range(20)]
+    rows = list(enumerate(rows)) + [(3, rows[50]), (70, "quite another text"), (70, rows[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for n, num in ((3, 90), (5, 80), (1, 80)):
+        got = sorted(((x.doc_id, x.n_shingles, x.component_id) for x in jaccard_join.join(df, n, num, 100).collect()), key=str)
+        assert got == brute(rows, n, num, 100)
 
 
 def test_word_hashes_follow_words():

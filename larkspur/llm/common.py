@@ -42,6 +42,11 @@ def text_key(text: Column) -> Column:
     return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
 
 
+def hidden(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """df with its columns called c0, c1 and so on, and their names: an operator's own columns then clash with none, however the input's are called."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]), df.columns
+
+
 def settle(df: DataFrame, *columns: str) -> DataFrame:
     """df with these columns computed once: they come out of a generator, which no filter on them is pushed below.
 

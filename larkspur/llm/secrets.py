@@ -2,11 +2,10 @@
 
 Strong findings (assignments, access identifiers, long hex) stand alone. Weak candidates - opaque strings that may be secrets, identifier
 fields, endpoints - are reported only when complementary parts co-occur: an interval join pairs the parts of one text whose starts are within
-``scope`` code points, on the text's key and the scope-wide buckets that they touch, so a part meets only its neighbours.
+``scope`` code points. Parts that can join lie in one row, so it is a sweep over the row's parts in order of their starts, and nothing is shuffled, whatever text or key repeats.
 
-Texts are joined by their own hash, once per distinct text: copies share one set of parts and the result returns to each row.
-
-Defined results: a null text is empty and has no spans; repeated rows are all kept, each with its spans; added spans never overlap strong ones.
+Defined results: a null text is empty and has no spans (``redact`` leaves it null); repeated rows are all kept, each with its spans; added spans never overlap strong ones; other
+columns are kept, but for ``strong`` and ``linked``, which ``scan`` replaces.
 """
 
 from __future__ import annotations
@@ -15,10 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import spans as S
-from .common import settle, text_key
 
 KINDS = ("assign", "access", "hex")
 SCOPE = 300  # code points between the starts of parts that belong together
+SECRET = ("secret", "assign", "hex")  # kinds that are secret parts; the others identify
+LINKED = "array<struct<start: int, end: int, kind: string>>"
 
 # The patterns of strong findings.
 ASSIGN = r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -45,48 +45,45 @@ def weak(text: Column) -> Column:
     )
 
 
-def link(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """parts: key, start, end, kind, given (a strong finding). Weak parts with complementary ones near: key, start, end, kind.
+def link(parts: Column, scope: int = SCOPE) -> Column:
+    """parts: an array of (start, end, kind, given: a strong finding). Weak parts with complementary ones near, as (start, end, kind), by start.
 
+    The interval join is a sweep: parts are sorted by start, and for each the last and the next start of either role come from running maxima and minima.
     A ``secret`` needs an ``access`` or ``identifier`` part or an ``endpoint``; an ``identifier`` or ``endpoint`` needs a secret part (weak or strong).
     """
-    role = F.when(F.col("kind").isin("secret", "assign", "hex"), "secret").when(F.col("kind").isin("access", "identifier"), "identifier").otherwise("endpoint")
-    p = parts.withColumn("role", role).withColumn("cell", F.expr(f"start div {scope}"))
-    # For each cell the places of each role's first and last part are not enough, but a part's neighbours are: only the nearest matter.
-    other = p.select(F.col("key").alias("o_key"), F.col("role").alias("o_role"), F.col("start").alias("o_start"), F.explode(F.array("cell", F.col("cell") - 1, F.col("cell") + 1)).alias("o_cell"))
-    # Of one role in one cell only the extremes can be nearest to a part of another cell, and any is near one of the same cell.
-    other = other.groupBy("o_key", "o_role", "o_cell", F.expr(f"o_start div {scope}").alias("o_own")).agg(F.min("o_start").alias("lo"), F.max("o_start").alias("hi"))
-    pair = p.where("NOT given").join(other, (F.col("key") == F.col("o_key")) & (F.col("cell") == F.col("o_cell")))
-    fits = ((F.col("role") == "secret") & F.col("o_role").isin("identifier", "endpoint")) | ((F.col("role") != "secret") & (F.col("o_role") == "secret"))
-    near = (F.col("o_own") == F.col("cell")) | (F.least(F.abs(F.col("lo") - F.col("start")), F.abs(F.col("hi") - F.col("start"))) <= scope)
-    return pair.where(fits & near).select("key", "start", "end", "kind").distinct()
+    far = 1 << 30
+
+    def joined(p: Column) -> Column:
+        secret = F.transform(p, lambda x: F.when(x["kind"].isin(*SECRET), x["start"]))
+        other = F.transform(p, lambda x: F.when(~x["kind"].isin(*SECRET), x["start"]))
+        last = lambda v: S.scan(F.transform(v, lambda x: F.coalesce(x, F.lit(-far))), F.greatest)
+        following = lambda v: F.reverse(S.scan(F.reverse(F.transform(v, lambda x: F.coalesce(x, F.lit(far)))), F.least))
+        near = lambda v: F.zip_with(last(v), following(v), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        sides = F.zip_with(near(secret), near(other), lambda s, o: F.struct(s.alias("s"), o.alias("o")))
+        within = lambda x, v: (x["start"] - v["a"] <= scope) | (v["b"] - x["start"] <= scope)
+        marked = F.zip_with(p, sides, lambda x, v: F.struct(x.alias("x"), (~x["given"] & F.when(x["kind"].isin(*SECRET), within(x, v["o"])).otherwise(within(x, v["s"]))).alias("on")))
+        return F.transform(F.filter(marked, lambda m: m["on"]), lambda m: F.struct(m["x"]["start"].alias("start"), m["x"]["end"].alias("end"), m["x"]["kind"].alias("kind")))
+
+    return S.let(F.array_sort(parts), joined)
 
 
 def scan(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame:
-    """docs with ``strong`` and ``linked``: arrays of spans (start, end, kind, value; linked ones without value)."""
+    """docs with ``strong`` and ``linked``: arrays of spans (start, end, kind, value; linked ones without value). Columns of those names are replaced."""
     body = F.coalesce(F.col(text), F.lit(""))
-    base = docs.drop("strong", "linked").withColumn("strong", strong(body)).withColumn("_key", text_key(body))
-    found = docs.select(text_key(body).alias("key"), strong(body).alias("s"), weak(body).alias("w"))
-    found = settle(found, "s", "w").where("size(w) > 0")
-    found = found.groupBy("key").agg(F.first("s").alias("s"), F.first("w").alias("w"))
-    found = found.withColumn("w", S.clear_of(F.col("w"), F.col("s")))
-    parts = found.select("key", F.explode(F.concat(F.transform("s", lambda x: F.struct(x["start"], x["end"], x["kind"], F.lit(True).alias("given"))), F.transform("w", lambda x: F.struct(x["start"], x["end"], x["kind"], F.lit(False).alias("given"))))).alias("p"))
-    linked = link(parts.select("key", "p.*"), scope).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("linked"))
-    out = base.join(linked, F.col("_key") == F.col("key"), "left").drop("_key", "key")
-    return out.withColumn("linked", F.coalesce("linked", F.array().cast("array<struct<start: int, end: int, kind: string>>")))
+    part = lambda given: lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), F.lit(given).alias("given"))
+    nothing = F.array().cast(LINKED)
+    linked = lambda s: S.let(S.clear_of(weak(body), s), lambda w: F.when(F.size(w) > 0, link(F.concat(F.transform(s, part(True)), F.transform(w, part(False))), scope)).otherwise(nothing))
+    both = S.let(strong(body), lambda s: F.struct(s.alias("strong"), linked(s).alias("linked")))
+    rest = [c for c in docs.columns if c.lower() not in ("strong", "linked")]
+    # The generator keeps the spans from being computed again for each use.
+    return docs.select(*[F.col(f"`{c}`") for c in rest], F.inline(F.array(both)))
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", scope: int = SCOPE) -> DataFrame:
-    """docs with every span of their texts replaced by ``mark``; overlapping spans become one. Null texts stay null."""
-    df = scan(docs, text, scope)
-    every = F.array_sort(F.concat(F.transform("strong", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))), F.transform("linked", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))))
-    df = df.withColumn("_s", every)
-
-    def add(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        return F.struct(
-            F.when(fresh, F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
-            F.greatest(acc["at"], s["end"]).alias("at"))
-
-    done = F.aggregate("_s", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), add, lambda a: F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, F.length(F.col(text)))))
-    return df.withColumn(text, F.when(F.size("_s") > 0, done).otherwise(F.col(text))).drop("_s", "strong", "linked")
+    """docs with every span of their texts replaced by ``mark``; overlapping spans become one. Null texts stay null; other columns stay as they are."""
+    names = [c if c == text else f"c{k}" for k, c in enumerate(docs.columns)]
+    found = scan(docs.toDF(*[f"c{k}" for k in range(len(names))]), f"c{docs.columns.index(text)}", scope)
+    place = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))
+    body = F.col(f"c{docs.columns.index(text)}")
+    clean = S.redacted(body, F.concat(F.transform("strong", place), F.transform("linked", place)), mark)
+    return found.select(*[(clean if c == text else F.col(f"c{k}")).alias(c) for k, c in enumerate(docs.columns)])

@@ -53,8 +53,9 @@ AROUND = 40  # code points of context
 #: Where expectation-maximisation starts: chances of a yes, an abstention and a no on true and on false spans, for each labeler (pattern, gazetteer, cue, digits around).
 START = (((0.8, 0.15, 0.05), (0.5, 0.2, 0.3)), ((0.8, 0.15, 0.05), (0.5, 0.2, 0.3)), ((0.5, 0.45, 0.05), (0.05, 0.55, 0.4)), ((0.7, 0.25, 0.05), (0.5, 0.2, 0.3)))
 LABELERS = len(START)
-#: Observations that each estimate begins with, in the shape of all spans' votes: a labeler that votes alike on all spans tells nothing, whatever the start says of it.
-PSEUDO = 0.05
+#: Observations in the shape of the start that each estimate begins with, for each span: they keep labels from swapping. A labeler that votes alike on all spans of a kind is left out, as
+#: it tells them not apart; where all do, the start's chances decide.
+PSEUDO = 0.1
 
 
 def luhn(digits: Column) -> Column:
@@ -113,11 +114,10 @@ def votes(x: Column) -> list[Column]:
     tail = F.lower(F.regexp_extract(value, "([A-Za-z]+)$", 1))
     valid = F.when(kind == "email", value.rlike(r"@|\[|\(")).when(kind == "phone", F.length(digits).between(9, 13)).when(kind == "card", luhn(F.when(kind == "card", digits).otherwise("0"))).when(
         kind == "id", ~value.rlike("^(?:000|666|9)|-00-|-0000$")).otherwise(F.length(F.replace(value, F.lit(" "), F.lit(""))).between(15, 34))
-    listed = F.when(kind == "email", tail.isin(*DOMAINS)).when(kind == "phone", value.rlike(r"^\(?0?[2-9]")).when(kind == "card", digits.rlike("^(?:4|5[1-5]|3[47]|6)")).when(
-        kind == "id", ~value.rlike("^(?:000|666|9)")).otherwise(F.substring(value, 1, 2).isin(*IBAN_COUNTRIES))
+    listed = F.when(kind == "email", tail.isin(*DOMAINS)).when(kind == "phone", value.rlike(r"^\(?0?[2-9]")).when(kind == "card", digits.rlike("^(?:4|5[1-5]|3[47]|6)")).otherwise(F.substring(value, 1, 2).isin(*IBAN_COUNTRIES))
     touches = after.rlike(r"^[\x20.,;|/-]*[0-9]") | before.rlike(r"[0-9][\x20.,;|/-]*$")
     alone = before.rlike(r"(?:^|[\s:,;(])$") & after.rlike(r"^(?:$|[\s.,;)!?])")
-    return [_vote(valid, ~valid), _vote(listed, ~listed), _vote(cue, F.lower(before).rlike(rf"\b(?:{COUNTER_CUES})")), _vote(alone & ~touches, touches)]
+    return [_vote(valid, ~valid), F.when(kind != "id", _vote(listed, ~listed)).otherwise(0), _vote(cue, F.lower(before).rlike(rf"\b(?:{COUNTER_CUES})")), _vote(alone & ~touches, touches)]
 
 
 def shape(x: Column) -> list[Column]:
@@ -141,19 +141,22 @@ def em(counts: dict[tuple, float], rounds: int = 50, prior: float = 0.3) -> tupl
         keys = [k for k in counts if k[0] == kind]
         n, vote = np.array([counts[k] for k in keys]), np.array([[place[v] for v in k[1:]] for k in keys])
         p, chance = prior, start
-        labelers = np.arange(vote.shape[1])
-        pooled = np.array([np.bincount(vote[:, i], n, minlength=3) + 1e-3 for i in labelers])
-        pooled = PSEUDO * (pooled / pooled.sum(1, keepdims=True))[:, None, :]
+        labelers = np.flatnonzero(vote.min(0) < vote.max(0))
+        learnt = len(labelers) > 0
+        labelers = labelers if learnt else np.arange(vote.shape[1])
+        prior_n = PSEUDO * n.sum()
         for _ in range(rounds):
-            seen = np.log(chance)[labelers, :, vote].sum(1)  # pattern, side
+            seen = np.log(chance)[labelers, :, vote[:, labelers]].sum(1)  # pattern, side
             true = 1 / (1 + np.exp(np.clip(seen[:, 1] + np.log(1 - p) - seen[:, 0] - np.log(p), -700, 700)))
+            if not learnt:
+                break
             side = np.stack([true, 1 - true], 1) * n[:, None]
-            chance = np.repeat(pooled, 2, axis=1)
+            chance = prior_n * start
             for i in labelers:
                 for v in range(3):
                     chance[i, :, v] += side[vote[:, i] == v].sum(0)
             chance = chance / chance.sum(2, keepdims=True)
-            p = float(np.clip((side[:, 0].sum() + PSEUDO * prior) / (n.sum() + PSEUDO), 0.01, 0.99))
+            p = float(np.clip((side[:, 0].sum() + prior_n * prior) / (n.sum() + prior_n), 0.01, 0.99))
         post |= dict(zip(keys, true.tolist(), strict=True))
         model[kind] = p, chance
     return post, model

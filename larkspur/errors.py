@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from typing import Any
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+
 
 class EngineError(Exception):
     def __init__(self, message: str, **details: Any):
@@ -18,6 +22,18 @@ class QueryError(EngineError):
     """A filter, sort, update or statement that can't be compiled or run."""
 
 
+@contextmanager
+def running(statement: str):
+    """What fails while a statement runs is given as a QueryError with its cause; errors of the engine pass as they are."""
+    try:
+        yield
+    except EngineError:
+        raise
+    except (PySparkException, Py4JError) as e:
+        condition = e.getCondition() if isinstance(e, PySparkException) else None
+        raise QueryError(f"The {statement} failed", statement=statement, condition=condition, cause=str(e).split("\n")[0]) from e
+
+
 class ValidationError(EngineError):
     """A document or value that its schema refuses; ``errors`` has a message per path."""
 

@@ -7,6 +7,7 @@ from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .values import NUMBER_LIKE
 
@@ -47,6 +48,25 @@ def text_for(operands: list[str], x: Column, *keys: str) -> Column:
     return text(x, *keys) if any(NUMBER_LIKE.match(o) for o in operands) else raw_text(x, *keys)
 
 
+def strip_nulls(column: Column, kind: T.DataType) -> Column:
+    """A typed value as a variant without the members that are NULL: to a document they are missing, not JSON null."""
+    if isinstance(kind, T.StructType):
+        pairs = [F.struct(F.lit(f.name).alias("key"), strip_nulls(column.getField(f.name), f.dataType).alias("value")) for f in kind.fields]
+        kept = F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["value"].isNotNull())) if pairs else F.create_map().cast("map<string,variant>")
+        return F.when(column.isNotNull(), F.to_variant_object(kept))
+    if isinstance(kind, T.ArrayType):
+        if not has_struct(kind.elementType):
+            return F.when(column.isNotNull(), F.to_variant_object(column))
+        return F.when(column.isNotNull(), F.to_variant_object(F.transform(column, lambda e: strip_nulls(e, kind.elementType))))
+    if isinstance(kind, (T.MapType, T.VariantType)):
+        return F.when(column.isNotNull(), F.to_variant_object(column)) if isinstance(kind, T.MapType) else column
+    return F.when(column.isNotNull(), F.try_variant_get(F.to_variant_object(F.struct(column.alias("v"))), "$.v", "variant"))
+
+
+def has_struct(kind: T.DataType) -> bool:
+    return isinstance(kind, T.StructType) or isinstance(kind, T.ArrayType) and has_struct(kind.elementType)
+
+
 def array(x: Column) -> Column:
     return x.try_cast("array<variant>")
 

@@ -1,6 +1,6 @@
 """How a compiler reaches values: in one VARIANT column, or in typed struct columns.
 
-Both give the same answers. Struct columns are pruned and pushed down as ordinary nested Parquet columns; where an operator needs JSON semantics (containment, keys,
+Both give the same answers; a NULL member of a struct is a missing key. Struct columns are pruned and pushed down as ordinary nested Parquet columns; where an operator needs JSON semantics (containment, keys,
 elements of mixed arrays) the part of the struct under the path's root is viewed as a variant.
 """
 
@@ -68,9 +68,7 @@ class StructAccessor(VariantAccessor):
                     return J.child(column, *keys[n:])
                 if n < len(keys):
                     return F.lit(None).cast("variant") if not isinstance(kind, T.MapType) else J.child(F.to_variant_object(column), *keys[n:])
-                if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
-                    return F.to_variant_object(column)
-                return F.when(column.isNotNull(), F.try_variant_get(F.to_variant_object(F.struct(column.alias("v"))), "$.v", "variant"))
+                return J.strip_nulls(column, kind)
         return F.lit(None).cast("variant")
 
     def text(self, keys: list[str], operands: list[str] | None = None) -> Column:
@@ -104,4 +102,6 @@ class StructAccessor(VariantAccessor):
         return test
 
     def present(self, keys: list[str]) -> Column:
-        return J.present(self.json(keys[:1]), keys[1:])
+        """Presence of a path of plain structs is that the column is not NULL; arrays on the way are looked into as a variant."""
+        found = self._at(keys)
+        return found[0].isNotNull() if found else J.present(self.json(keys[:1]), keys[1:])

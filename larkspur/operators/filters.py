@@ -45,14 +45,55 @@ def operators_of(spec: dict, allowed: tuple[str, ...]) -> list[tuple[str, Any]]:
     return [(op, v) for op, v in spec.items() if op != "$options"]
 
 
+# Escapes and classes of POSIX patterns, as Java spells them.
+ESCAPES = {"m": r"\b(?=\w)", "M": r"\b(?<=\w)", "y": r"\b", "Y": r"\B", "Z": r"\z"}
+CLASSES = {"alpha": r"\p{Alpha}", "digit": r"\d", "alnum": r"\p{Alnum}", "space": r"\s", "upper": r"\p{Upper}", "lower": r"\p{Lower}", "punct": r"\p{Punct}", "xdigit": r"\p{XDigit}", "blank": r"[ \t]"}
+
+
+def java_pattern(text: str) -> str:
+    """A POSIX pattern in Java's spelling: ``$`` is the end alone, escapes are read one by one, and what Java would read in another way is refused."""
+    out, inside, k = [], False, 0
+    while k < len(text):
+        c = text[k]
+        if c == "\\" and k + 1 < len(text):
+            n = text[k + 1]
+            out.append(ESCAPES[n] if not inside and n in ESCAPES else c + n)
+            k += 2
+            continue
+        if inside and (named := re.match(r"\[:(\w+):\]", text[k:])):
+            if named[1] not in CLASSES:
+                raise QueryError("Unsupported class in $regex", value=named[0])
+            out.append(CLASSES[named[1]])
+            k += len(named[0])
+            continue
+        if inside and (c in "[&" and text[k : k + 2] in ("[.", "[=", "&&")):
+            if text[k : k + 2] != "&&":
+                raise QueryError("Unsupported class in $regex", value=text[k : k + 2])
+            out.append("&\\&")
+            k += 2
+            continue
+        if inside:
+            out.append("\\[" if c == "[" else c)
+            inside = c != "]"
+        elif c == "[":
+            head = re.match(r"\[\^?\]?", text[k:])[0]  # a bracket that comes first is itself
+            out.append(head.replace("]", "\\]"))
+            inside = True
+            k += len(head)
+            continue
+        elif text.startswith("***", k):
+            raise QueryError("Unsupported prefix in $regex", value=text)
+        else:
+            out.append(r"\z" if c == "$" else c)
+        k += 1
+    return "".join(out)
+
+
 def pattern_of(v: Any, options: str = "") -> str:
     """A pattern for Java, from a compiled pattern or text; only the flag ``i`` counts."""
     if isinstance(v, re.Pattern):
-        return ("(?i)" if v.flags & re.IGNORECASE else "") + v.pattern
-    text = str(v).replace(r"\m", r"\b(?=\w)").replace(r"\M", r"\b(?<=\w)").replace(r"\y", r"\b")
-    for name, java in (("alpha", r"\p{Alpha}"), ("digit", r"\d"), ("alnum", r"\p{Alnum}"), ("space", r"\s"), ("upper", r"\p{Upper}"), ("lower", r"\p{Lower}"), ("punct", r"\p{Punct}")):
-        text = text.replace(f"[:{name}:]", java)
-    return ("(?i)" if "i" in (options or "") else "") + text
+        return ("(?is)" if v.flags & re.IGNORECASE else "(?s)") + java_pattern(v.pattern)
+    return ("(?is)" if "i" in (options or "") else "(?s)") + java_pattern(str(v))
 
 
 def number_operand(op: str, v: Any) -> Any:
@@ -154,7 +195,7 @@ class FilterCompiler:
             return found if v else ~found
         if op == "$size":
             n = number_operand(op, v)
-            return F.when(x.isNotNull(), F.size(x.cast("array<variant>")) == F.lit(int(n)))
+            return F.when(x.isNotNull(), F.size(x.cast("array<variant>")) == F.lit(int(n)) if n == int(n) else F.lit(False))
         if op == "$all":
             items = [self.cast(path, i, True) for i in as_list(v)]
             return F.when(x.isNotNull(), J.contains(x, items))
@@ -215,7 +256,7 @@ class FilterCompiler:
                     return F.lit(v.lower())
             elif isinstance(v, int) and not isinstance(v, bool) and abs(v) < 2**63:
                 return F.lit(v).cast("long")
-            elif isinstance(v, str) and re.fullmatch(r"\d{1,19}", v):
+            elif isinstance(v, str) and re.fullmatch(r"\d{1,19}", v) and int(v) < 2**63:
                 return F.lit(int(v)).cast("long")
             raise QueryError("Invalid id", value=to_text(v))
         t = parse_time(v)

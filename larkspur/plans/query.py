@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..errors import running
 from ..operators.accessors import StructAccessor, VariantAccessor
 from ..operators.filters import FilterCompiler
 from ..operators.sorting import sort_columns, window
@@ -66,13 +67,15 @@ class Query:
         return self.matching().agg(F.count(F.lit(1)).cast("int").alias("total_count"))
 
     def count(self) -> int:
-        return self.count_df().first()[0]
+        with running("count"):
+            return self.count_df().first()[0]
 
     def documents(self) -> list:
         """Documents on the driver, normalised by the schema."""
         from ..model.tracker import Document
 
-        rows = self.df().select("id", F.to_json("data").alias("data"), "created_at", "updated_at").collect()
+        with running("query"):
+            rows = self.df().select("id", F.to_json("data").alias("data"), "created_at", "updated_at").collect()
         load = lambda t: self.schema.normalize(json.loads(t)) if self.schema else json.loads(t)
         return [Document(self.schema, load(r.data), r.id, r.created_at, r.updated_at, is_new=False) for r in rows]
 

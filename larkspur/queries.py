@@ -138,6 +138,31 @@ for _name, _spec, _where in (
     _add(_name, events, EVENTS, _spec, _EVENT, _EVENT_SQL, _where)
 
 
+def nested_parts(spark: SparkSession, d: str, variant: bool = False) -> DataFrame:
+    """Parts with a member that some lack, and texts with line feeds."""
+    p = _table(spark, d, "part")
+    sub = F.struct(F.col("p_brand").alias("a"), F.when(F.col("p_size") % 3 == 0, F.col("p_size")).alias("b"))
+    line = F.when(F.col("p_size") % 2 == 0, F.concat("p_name", F.lit("\n"))).otherwise(F.col("p_name"))
+    doc = F.struct(F.col("p_name").alias("name"), F.col("p_size").alias("size"), sub.alias("sub"), F.concat_ws("\n", "p_name", "p_brand").alias("note"), line.alias("line"))
+    return _rows(p, "p_partkey", F.parse_json(F.to_json(doc)) if variant else doc)
+
+
+NESTED = Schema({"name": str, "size": "Int32", "sub": {"a": str, "b": "Int32"}, "note": str, "line": str})
+for _name, _spec, _where in (
+    ("exists_nested_member", {"sub.b": {"$exists": True}}, "p_size % 3 = 0"),
+    ("exists_not_nested_member", {"sub.b": {"$exists": False}}, "p_size % 3 <> 0"),
+    ("has_key_nested_member", {"sub": {"$has_key": "b"}}, "p_size % 3 = 0"),
+    ("has_all_keys_nested", {"sub": {"$has_all_keys": ["a", "b"]}}, "p_size % 3 = 0"),
+    ("find_eq_number_rows", {"sub.b": 24}, "p_size = 24"),
+    ("find_gt_boundary", {"size": {"$gt": 24}}, "p_size > 24"),
+    ("find_gte_boundary", {"size": {"$gte": 24}}, "p_size >= 24"),
+    ("regex_over_line_feed", {"note": {"$regex": "^[a-m].*1$"}}, "regexp_matches(p_name, '^[a-m]') AND p_brand LIKE '%1'"),
+    ("regex_end_alone", {"line": {"$regex": "[a-z]$"}}, "p_size % 2 <> 0 AND regexp_matches(p_name, '[a-z]$')"),
+):
+    for _variant in (False, True):
+        _add(_name + "_variant" * _variant, lambda s, d, v=_variant: nested_parts(s, d, v), NESTED, _spec, _PART, _PART_SQL, _where)
+
+
 def _query(name: str, sql: str):
     def add(f):
         QUERIES[name], ORACLES[name] = f, sql

@@ -13,14 +13,16 @@ import uuid
 from datetime import UTC, datetime
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import ModelOverwriteError, QueryError, SchemaError, ValidationError
+from ..errors import ModelOverwriteError, QueryError, SchemaError, ValidationError, running
 from ..functions import paths
 from ..functions.values import parse_time, to_json_value
 from ..model.schema import Schema
 from ..model.tracker import BASE, Document
+from ..operators.accessors import VariantAccessor
 from ..operators.updates import Update
 from ..plans.query import Query
 
@@ -61,6 +63,11 @@ class Files:
             self.fs.rename(new, self.path(name))
 
 
+    def parts(self, name: str) -> list[str]:
+        """The data files of a folder, by name."""
+        return sorted(f"{name}/{s.getPath().getName()}" for s in self.fs.listStatus(self.path(name)) if s.getPath().getName().endswith(".parquet"))
+
+
 class Collection:
     def __init__(self, spark: SparkSession, path: str, schema: Schema | None = None, name: str = "collection"):
         self.spark, self.path, self.schema, self.name, self.files = spark, path.rstrip("/"), schema, name, Files(spark, path)
@@ -118,10 +125,24 @@ class Collection:
             out = out if t in docs.columns else out.withColumn(t, now)
         if "id" not in docs.columns:  # unique and increasing, with gaps: no shuffle and no single task
             out = out.withColumn("id", F.monotonically_increasing_id() + m["next_id"])
-        segment = self._write(out)
+        if self.schema:
+            out = out.withColumn("data", self._fitted(out))
+        self._check_unique(out, m)
+        with running("load"):
+            segment = self._write(out)
         top = self.spark.read.parquet(f"{self.path}/{segment}").agg(F.max("id")).first()[0] if self.id_type == "bigint" else None
         self._commit(m | {"segments": [*m["segments"], segment], "next_id": max(m["next_id"], (top or 0) + 1)})
 
+    def _fitted(self, rows: DataFrame) -> Column:
+        """data as the schema has it (unknown keys gone, defaults, casts), in Arrow batches; a row that it refuses fails the load."""
+        schema = self.schema
+
+        @F.pandas_udf("string")
+        def fit(texts: pd.Series) -> pd.Series:
+            return texts.map(lambda t: json.dumps(to_json_value(schema.normalize(json.loads(t)))))
+
+        return F.parse_json(fit(F.to_json("data")))
+
     def from_dict(self, doc: dict) -> Document:
         body = paths.expand({k: v for k, v in doc.items() if k not in ("id", "created_at", "updated_at")})
         return Document(self.schema, self.schema.normalize(body) if self.schema else body, doc.get("id"), doc.get("created_at"), doc.get("updated_at"))
@@ -129,8 +150,17 @@ class Collection:
     def create(self, docs: dict | list[dict]) -> Document | list[Document]:
         """Insert one document or several, in one write."""
         many = docs if isinstance(docs, list) else [docs]
-        made, m, now = [self.from_dict(d) for d in many], self.manifest(), datetime.now(UTC)
-        self._check_unique(made, m)
+        made = [self.from_dict(d) for d in many]
+        self._insert(made)
+        return made if isinstance(docs, list) else made[0]
+
+    def _insert(self, made: list[Document]) -> None:
+        """Give ids and times to new documents and store them, in one write; they are known and without changes afterwards."""
+        if not made:
+            return
+        m, now = self.manifest(), datetime.now(UTC)
+        rows = [(k, json.dumps(to_json_value(d.data))) for k, d in enumerate(made)]
+        self._check_unique(self.spark.createDataFrame(rows, "id long, data string").withColumn("data", F.parse_json("data")), m)
         for d in made:
             if self.id_type == "string":
                 d.id = (d.id or uuid7()).lower()
@@ -138,35 +168,45 @@ class Collection:
                 raise ValidationError("The collection gives the ids")
             else:
                 d.id, m["next_id"] = str(m["next_id"]), m["next_id"] + 1
-            d.created_at, d.updated_at, d.is_new = parse_time(d.created_at) or now, now, False
-            d.rebase()
+            d.created_at, d.updated_at = parse_time(d.created_at) or now, now
         rows = [(d.id, json.dumps(to_json_value(d.data)), d.created_at, d.updated_at) for d in made]
-        df = self.spark.createDataFrame(rows, "id string, data string, created_at timestamp, updated_at timestamp").withColumn("data", F.parse_json("data")) if rows else None
-        if df is not None:
+        df = self.spark.createDataFrame(rows, "id string, data string, created_at timestamp, updated_at timestamp").withColumn("data", F.parse_json("data"))
+        with running("insert"):
             self._commit(m | {"segments": [*m["segments"], self._write(df.coalesce(1))]})
-        return made if isinstance(docs, list) else made[0]
+        for d in made:
+            d.is_new = False
+            d.rebase()
 
     insert_one = create
 
-    def _check_unique(self, docs: list[Document], m: dict) -> None:
+    def _check_unique(self, fresh: DataFrame, m: dict, instead: Any = None) -> None:
+        """fresh: rows (data) to be written, in place of the row with the id ``instead``. One join per unique index, with the stored rows and within fresh; keys with a missing part are not compared."""
         for index in m["indexes"]:
-            if index.get("unique"):
-                for d in docs:
-                    spec = {p: d.get(p) for p in index["paths"]}
-                    if None not in spec.values() and self.count_documents(spec):
-                        raise QueryError("Duplicate key", index=index["name"])
-
-    def _target(self, filter: dict) -> tuple[Any, list[str]] | None:
-        """The smallest matching id and the segments that hold it."""
+            if not index.get("unique"):
+                continue
+            at = VariantAccessor("data")
+            key = lambda df: df.select(F.struct(*[at.text(p.split(".")).alias(f"k{k}") for k, p in enumerate(index["paths"])]).alias("key")).where(" AND ".join(f"key.k{k} IS NOT NULL" for k in range(len(index["paths"]))))  # noqa: B023, E731
+            stored = self.df if instead is None else self.df.where(F.col("id") != F.lit(instead))
+            with running("unique check"):
+                twice = key(fresh).groupBy("key").count().where("count > 1").select("key")
+                if not twice.unionByName(key(fresh).join(key(stored), "key", "left_semi")).isEmpty():
+                    raise QueryError("Duplicate key", index=index["name"])
+
+    def _target(self, filter: dict) -> tuple[Any, str] | None:
+        """The smallest matching id and the file that holds it, relative to the collection."""
         rows = Query(self.df.select("*", F.col("_metadata.file_path").alias("_file")), self.schema, filter).matching()
-        hit = rows.agg(F.min_by("_file", "id").alias("f"), F.min("id").alias("id")).first()
-        return None if hit.id is None else (hit.id, re.findall(r"segment-[0-9a-f]{32}", hit.f)[-1:])
-
-    def _replace(self, segments: list[str], change) -> None:
-        m = self.manifest()
-        old = self.spark.read.schema(self.df.schema).parquet(*[f"{self.path}/{s}" for s in segments])
-        fresh = self._write(change(old))
-        self._commit(m | {"segments": [fresh if s == segments[0] else s for s in m["segments"] if s == segments[0] or s not in segments]})
+        with running("search for the row"):
+            hit = rows.agg(F.min_by("_file", "id").alias("f"), F.min("id").alias("id")).first()
+        return None if hit.id is None else (hit.id, re.findall(r"segment-[0-9a-f]{32}/.+$", hit.f)[-1])
+
+    def _replace(self, file: str, change) -> None:
+        """Write one file anew with a change. The manifest then names the other files of its segment one by one, so a bulk load is never rewritten as a whole."""
+        m, segment = self.manifest(), file.split("/")[0]
+        old = self.spark.read.schema(self.df.schema).parquet(f"{self.path}/{file}")
+        with running("write"):
+            fresh = self._write(change(old).coalesce(1))
+        places = [x for s in m["segments"] for x in (self.files.parts(s) if s == segment else [s])]
+        self._commit(m | {"segments": [fresh if s == file else s for s in places]})
 
     def update_one(self, filter: dict, update: dict) -> Document | None:
         """Change the matching document with the smallest id; the document as it is then, or None."""
@@ -174,6 +214,9 @@ class Collection:
         if not change or (target := self._target(filter)) is None:
             return None
         on = F.col("id") == F.lit(target[0])
+        m = self.manifest()
+        if any(i.get("unique") for i in m["indexes"]):
+            self._check_unique(self.df.where(on).withColumn("data", change.column(F.col("data"))), m, target[0])
 
         def changed(df: DataFrame) -> DataFrame:
             for t, v in change.times.items():
@@ -193,11 +236,15 @@ class Collection:
     def save(self, doc: Document) -> Document:
         """Insert a new document, or send the changes of a known one (and refresh updated_at)."""
         if doc.is_new:
-            return self.create({**doc.data, **{k: v for k, v in (("id", doc.id), ("created_at", doc.created_at)) if v}})
+            doc.data = self.schema.normalize(doc.data) if self.schema else doc.data
+            self._insert([doc])
+            return doc
         delta = doc.delta()
         if delta["set"] or delta["unset"]:
             Schema.validate(self.schema, doc.data) if self.schema else None
             fresh = self.update_one({"id": doc.id}, {**{"$set": {**{p.removeprefix("data."): v for p, v in delta["set"].items()}, "updated_at": datetime.now(UTC)}}, "$unset": [p.removeprefix("data.") for p in delta["unset"]]})
+            if fresh is None:
+                raise QueryError("The document is not stored any more", id=doc.id)
             doc.data, doc.updated_at = fresh.data, fresh.updated_at
             doc.rebase()
         return doc

@@ -1,5 +1,6 @@
 """Collections, schemas and errors, on small documents."""
 
+import json
 import re
 from datetime import UTC, datetime
 from decimal import Decimal
@@ -12,7 +13,8 @@ from larkspur.functions import paths, values
 from larkspur.model import fields
 from larkspur.model.schema import Schema
 from larkspur.model.tracker import Document
-from larkspur.operators.filters import FilterCompiler
+from larkspur.operators.accessors import StructAccessor, VariantAccessor
+from larkspur.operators.filters import FilterCompiler, pattern_of
 from larkspur.operators.updates import Update
 from larkspur.plans.query import Query
 from larkspur.sources.collection import Connection, index_definitions, plural, uuid7
@@ -191,3 +193,82 @@ def test_live_documents():
 def test_methods_must_not_hide_documents_own(spark, tmp_path):
     with pytest.raises(SchemaError):
         Connection(spark, str(tmp_path)).model("M", Schema({"a": str}).add_method("delta", print))
+
+
+def test_both_accessors_agree_on_missing_members(spark):
+    """A struct's NULL member is a missing key: every filter gives the same rows over structs as over the documents."""
+    import itertools
+    import random
+
+    r = random.Random(6)
+    maybe = lambda f: None if r.random() < 0.4 else f()
+    sub = lambda: {"a": maybe(lambda: r.choice(["x", "y", "l\nm"])), "b": maybe(lambda: r.choice([1, 2, 3])), "deep": maybe(lambda: {"c": maybe(lambda: r.choice([1.5, 2.0]))})}
+    docs = [{"sub": maybe(sub), "tags": maybe(lambda: [r.choice(["p", "q"]) for _ in range(r.randrange(4))]), "items": maybe(lambda: [{"k": maybe(lambda: r.randrange(5)), "s": maybe(lambda: "z")} for _ in range(r.randrange(3))]), "t": maybe(lambda: r.choice(["", "2", "a"]))} for _ in range(120)]
+    kind = "sub struct<a: string, b: int, deep: struct<c: double>>, tags array<string>, items array<struct<k: int, s: string>>, t string"
+    text = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)], "id long, j string")
+    strip = lambda d: {k: strip(v) if isinstance(v, dict) else [strip(x) if isinstance(x, dict) else x for x in v] if isinstance(v, list) else v for k, v in d.items() if v is not None}
+    bare = spark.createDataFrame([(i, json.dumps(strip(d))) for i, d in enumerate(docs)], "id long, j string")
+    typed, plain = text.select("id", F.from_json("j", kind).alias("data")).cache(), bare.select("id", F.parse_json("j").alias("data")).cache()
+    paths = ("sub", "sub.a", "sub.b", "sub.deep", "sub.deep.c", "tags", "items", "items.k", "t", "none.at.all")
+    specs = [{p: {"$exists": v}} for p in paths for v in (True, False)]
+    specs += [{p: {op: v}} for p, (op, v) in itertools.product(("sub", "tags", "items", "sub.deep"), (("$has_key", "a"), ("$has_key", "p"), ("$has_all_keys", ["a", "b"]), ("$has_any_keys", ["c", "b"])))]
+    specs += [{"sub": {"b": None}}, {"sub": {"a": "x"}}, {"sub": {"deep": {"c": 2}}}, {"items": {"$contains": [{"k": 1}]}}, {"items": {"$contains": [{"s": None}]}}, {"tags": {"$size": 2}}, {"tags": {"$size": 2.5}}, {"tags": {"$all": ["p"]}},
+              {"sub.b": 2}, {"sub.b": {"$gt": 1}}, {"sub.deep.c": 2}, {"sub.a": {"$regex": "l.m"}}, {"items": {"$elem_match": {"k": {"$gte": 2}}}}, {"sub.a": {"$ne": "x"}}]
+    sides = [df.select(*[F.coalesce(FilterCompiler(None, a).compile(s), F.lit(False)).alias(f"f{k}") for k, s in enumerate(specs)]).collect() for df, a in ((typed, StructAccessor(typed.schema["data"].dataType)), (plain, VariantAccessor()))]
+    for k, spec in enumerate(specs):
+        assert [x[k] for x in sides[0]] == [x[k] for x in sides[1]], spec
+    assert sum(x[0] for x in sides[0]) > 20
+
+
+def test_patterns_read_as_posix(spark):
+    texts = ["a\nb", "axb\n", "axb", "A.B", "word", "x[y", "r&s", "tab\t"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    hits = lambda p, o="": [r.t for r in df.where(F.col("t").rlike(pattern_of(p, o))).collect()]
+    assert hits("a.b") == ["a\nb", "axb\n", "axb"] and hits("xb$") == ["axb"] and hits("a.b", "i") == ["a\nb", "axb\n", "axb", "A.B"]
+    assert hits(r"\mwo") == ["word"] and hits(r"d\M") == ["word"] and hits("x[[]y") == ["x[y"] and hits("[&&]") == ["r&s"] and hits("^[[:alpha:]]+$") == ["axb", "word"]
+    assert hits(r"\.") == ["A.B"] and hits(r"[[:blank:]]$") == ["tab\t"] and hits("[]x]") == ["axb\n", "axb", "x[y"] and hits(r"a\$") == []
+    for bad in ("[[.a.]]", "[[:nonsense:]]", "***=x"):
+        with pytest.raises(QueryError):
+            pattern_of(bad)
+
+
+def test_saving_unique_keys_and_errors(spark, tmp_path):
+    db = Connection(spark, str(tmp_path))
+    users = db.model("U", Schema({"name": {"type": str, "index": {"unique": True}}, "n": float}))
+    users.ensure()
+    doc = users.from_dict({"name": "a", "n": 1})
+    assert users.save(doc) is doc and doc.id and not doc.is_new and doc.delta() == {"set": {}, "unset": []}
+    doc.set("n", 2)
+    users.save(doc)
+    users.save(doc)
+    assert users.count_documents() == 1 and users.find_by_id(doc.id).get("n") == 2
+    for write in (lambda: users.create({"name": "a"}), lambda: users.create([{"name": "b"}, {"name": "b"}]), lambda: users.load(spark.createDataFrame([('{"name": "a"}',)], "data string"))):
+        with pytest.raises(QueryError, match="Duplicate"):
+            write()
+    users.create({"name": "b"})
+    with pytest.raises(QueryError, match="Duplicate"):
+        users.update_one({"name": "b"}, {"$set": {"name": "a"}})
+    assert users.update_one({"name": "b"}, {"$set": {"name": "b", "n": 5}}).get("n") == 5 and users.count_documents() == 2
+    users.load(spark.createDataFrame([('{"name": "c", "n": "7", "unknown": 1}',)], "data string"))
+    assert users.find_one({"name": "c"}).data == {"name": "c", "n": 7}
+    with pytest.raises(QueryError):
+        users.load(spark.createDataFrame([('{"name": "d", "n": "no number"}',)], "data string"))
+    users.delete_one({"id": doc.id})
+    doc.set("n", 3)
+    with pytest.raises(QueryError):
+        users.save(doc)
+    loose = db.model("Loose", Schema({"x": dict}))
+    loose.create([{"x": {"v": "text"}}, {"x": {"v": 5}}])
+    with pytest.raises(QueryError) as e:
+        loose.find({"x.v": {"$gt": 4}}).count()
+    assert e.value.to_json()["statement"] == "count" and e.value.__cause__ is not None
+
+
+def test_a_change_rewrites_one_file_of_a_bulk_load(spark, tmp_path):
+    rows = Connection(spark, str(tmp_path)).model("Row", Schema({"k": float}))
+    rows.load(spark.range(400).select(F.to_json(F.struct(F.col("id").alias("k"))).alias("data")).repartition(4))
+    before = set(rows.files.parts(rows.manifest()["segments"][0]))
+    rows.update_one({"k": 7}, {"$set": {"k": -7}})
+    rows.delete_one({"k": 300})
+    kept = set(rows.manifest()["segments"]) & before
+    assert len(before) == 4 and len(kept) >= 2 and rows.count_documents() == 399 and rows.find_one({"k": -7}) is not None and rows.find_one({"k": 300}) is None

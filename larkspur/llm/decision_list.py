@@ -17,10 +17,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, words
+from .common import hidden, settle, words
 
 #: At most this many labelled rows are used to fit (chosen by hash of the id).
 SAMPLE_ROWS = 10_000
+#: Imprecise rules that are dropped before the search for more ends.
+MISSES = 5
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEATURES = ("n_words", "symbol_share", "repeat_share", "dup_line_share", "mean_word_chars", "upper_share", "pipe_share", "digit_share", "distinct_share", "stop_share")
 
@@ -31,8 +33,11 @@ def window_hashes(w: Column) -> Column:
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the counts of COUNTS and the shares of FEATURES added."""
-    df = docs.drop(*COUNTS, *FEATURES).withColumn("_w", words(F.col(text)))
+    """docs with the counts of COUNTS and the shares of FEATURES added (columns of those names are replaced; others stay, whatever they are called)."""
+    own = {*COUNTS, *FEATURES}
+    given = docs.select(F.col(f"`{text}`").alias("t"), *[F.col(f"`{c}`") for c in docs.columns if c.lower() not in own])
+    df, names = hidden(given)
+    df = df.withColumn("_w", words(F.col("c0")))
     df = df.withColumn("_g", window_hashes(F.col("_w")))
     # Only where a window repeats: windows sorted by hash, those with an equal neighbour, and their places in order.
     ordered = F.sort_array(F.transform("_g", lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
@@ -40,7 +45,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("_p", F.expr(
         "CASE WHEN _s IS NOT NULL THEN sort_array(transform(filter(transform(_s, (x, i) -> struct(x.p AS p, (i > 0 AND get(_s, i - 1).h <=> x.h) OR (get(_s, i + 1).h <=> x.h) AS twice)), y -> y.twice), y -> y.p)) END"))
     repeats = F.expr("CASE WHEN _p IS NULL THEN 0L WHEN size(_p) = 0 THEN 0L ELSE aggregate(transform(_p, (x, i) -> least(3, coalesce(get(_p, i + 1) - x, 3))), 0L, (a, x) -> a + x) END")
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(F.col("c0"), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     chars = F.length(F.array_join("_w", ""))
     df = df.withColumn("n_words", F.size("_w").cast("long")).withColumn("word_chars", chars.cast("long"))
@@ -55,7 +60,9 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         "pipe_share": per_word(F.regexp_count(body, F.lit(r"\|"))), "distinct_share": per_word(F.size(F.array_distinct("_w"))),
         "stop_share": per_word(F.regexp_count(body, F.lit(r"[.!?]"))),
     })
-    return settle(df.drop("_w", "_g", "_s", "_p", "_l"), *dict.fromkeys(COUNTS + FEATURES))
+    every = list(dict.fromkeys(COUNTS + FEATURES))
+    done = settle(df.drop("_w", "_g", "_s", "_p", "_l"), *every)
+    return done.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names) if k], *every)
 
 
 @dataclass(frozen=True)
@@ -131,7 +138,7 @@ def _prune(rule: list[Condition], x: dict[str, np.ndarray], y: np.ndarray) -> li
 
 
 def fit(x: dict[str, np.ndarray], reject: np.ndarray, max_rules: int = 12, max_conditions: int = 4, precision: float = 0.9, least: int = 5, seed: int = 7) -> DecisionList:
-    rng, rules = np.random.default_rng(seed), []
+    rng, rules, misses = np.random.default_rng(seed), [], 0
     left = np.ones(len(reject), bool)
     while len(rules) < max_rules and reject[left].sum() >= least:
         rows = np.flatnonzero(left)
@@ -142,10 +149,13 @@ def fit(x: dict[str, np.ndarray], reject: np.ndarray, max_rules: int = 12, max_c
             break
         rule = _prune(rule, *part(rows[held]))
         on = left & np.logical_and.reduce([c.holds(x) for c in rule])
-        if reject[on].sum() < least or reject[on].mean() < precision:
-            break
-        rules.append(tuple(rule))
-        left &= ~on
+        if reject[on].sum() >= least and reject[on].mean() >= precision:
+            rules.append(tuple(rule))
+            left &= ~on
+        else:  # not precise: dropped, and the next is grown on another split
+            misses += 1
+            if misses == MISSES:
+                break
     return DecisionList(tuple(rules))
 
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import hidden, settle
 
 #: Places that each mask looks at. Every run of MIN_WORDS matches or more with MIN_IDENTITY holds all places of one of them (a test enumerates the runs); for lower limits there is no such promise.
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 6, 8, 9), (0, 1, 5, 11, 12))
@@ -124,6 +124,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """docs without those that overlap an item."""
-    bad = overlaps(docs, benchmark, **how).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+    """docs without those that overlap an item; rows without an id that overlap one go as well. Other columns, whatever their names are, stay as they are."""
+    df, names = hidden(docs)
+    key, body = (f"c{[n.lower() for n in names].index(how.get(k, k).lower())}" for k in ("doc_id", "text"))
+    bad = overlaps(df.select(F.col(key).alias("doc_id"), F.col(body).alias("text")), benchmark, **{k: v for k, v in how.items() if k not in ("doc_id", "text")}).select("doc_id").distinct()
+    return df.join(bad, F.col(key).eqNullSafe(F.col("doc_id")), "left_anti").toDF(*names)

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytewords import U, mix, shingle_sets, slices
+from .common import hidden
 from .components import components
 from .storage import forget, ship, written
 
@@ -237,7 +238,9 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
 
 
 def one_per_group(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs with one row of each group: that of the smallest doc_id; rows without an id all stay."""
-    groups = join(docs, n, num, den).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id IS NOT NULL").join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """docs with one row of each group: that of the smallest doc_id; rows without an id all stay. Other columns, whatever their names are, stay as they are."""
+    df, names = hidden(docs)
+    key = f"c{[x.lower() for x in names].index('doc_id')}"
+    groups = join(docs.select("doc_id", "text"), n, num, den).where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
+    kept = df.where(F.col(key).isNotNull()).join(groups, key, "left_semi").dropDuplicates([key])
+    return kept.select(*df.columns).unionByName(df.where(F.col(key).isNull())).toDF(*names)

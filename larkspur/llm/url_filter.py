@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import hidden, lower_ascii
 
 #: Rules up to this many rows are broadcast (about 100 bytes each); larger tables are joined by a shuffle on the hash.
 BROADCAST_RULES = 200_000
@@ -54,9 +54,12 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     """pages with host, path, rule and verdict added (columns of those names are replaced)."""
     ready = prepare_rules(rules)
     lengths = sorted(r[0] for r in ready.select(F.length("path")).distinct().collect())  # at most as many as a URL has characters
-    parts = pages.drop("host", "path", "rule", "verdict").withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
+    given = pages.select(F.col(url).alias("u"), *[F.col(f"`{c}`") for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")])
+    df, names = hidden(given)
+    parts = df.withColumn("host", host_of(F.col("c0"))).withColumn("path", path_of(F.col("c0")))
+    rest = [F.col(f"c{k}").alias(c) for k, c in enumerate(names) if k]
     if not lengths:
-        return parts.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
+        return parts.select(*rest, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     if ready.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
         ready = F.broadcast(ready)
     asked = (
@@ -69,4 +72,4 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
         .groupBy("url_host", "url_path").agg(F.max_by(F.struct(F.concat("host", "path").alias("rule"), "action"), "rank").alias("hit"))
     )
     found = parts.join(best, (parts.host == best.url_host) & (parts.path == best.url_path), "left")
-    return found.withColumn("rule", F.col("hit.rule")).withColumn("verdict", F.coalesce("hit.action", F.lit(default))).drop("url_host", "url_path", "hit")
+    return found.select(*rest, "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.action", F.lit(default)).alias("verdict"))

@@ -122,7 +122,7 @@ def test_join_of_groups_at_the_threshold(spark, monkeypatch, block):
     rows += [" ".join(passage + [f"u{i}x{j}" for j in range(r.choice([5, 20, 60]))]) for i in range(20)]
     rows = list(enumerate(rows)) + [(3, rows[50]), (70, "quite another text"), (70, rows[0])]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    for n, num in ((3, 90), (5, 80), (1, 80)):
+    for n, num in ((3, 90), (5, 80), (1, 80)) if block == 1024 else ((3, 90),):
         got = sorted(((x.doc_id, x.n_shingles, x.component_id) for x in jaccard_join.join(df, n, num, 100).collect()), key=str)
         assert got == brute(rows, n, num, 100)
 

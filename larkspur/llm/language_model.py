@@ -1,13 +1,13 @@
 """LM scoring with an Elias-Fano n-gram trie.
 
 The trie has two levels, cut into shards by the hash of the context word; a shard is a folder of memory-mapped arrays in the shared folder. Level one holds the
-shard's words (sorted hashes as an Elias-Fano sequence), their counts, 8-bit back-off weights, and monotone pointers into level two. Level two holds each word's
-successors: ids made monotone by their context's offset, as one Elias-Fano sequence, and 8-bit codes of smoothed log-probabilities. A bigram is looked up by a
+shard's words (sorted hashes as an Elias-Fano sequence), their counts, 16-bit back-off weights, and monotone pointers into level two. Level two holds each word's
+successors: ids made monotone by their context's offset, as one Elias-Fano sequence, and 16-bit codes of smoothed log-probabilities. A bigram is looked up by a
 successor search between its context's pointers, so it costs a few bits read in place and no table is held in memory.
 
 Smoothing is interpolated absolute discounting, p(w|v) = max(c(vw) - D, 0) / c(v) + D n(v) / c(v) p(w), with D = n1 / (n1 + 2 n2) and the additive unigram p(w) = (c + 0.1) / (N + 0.1 (V + 1)).
 Everything is counted over all training rows: partitions send each shard their distinct words and bigrams with counts, so a frequent pair is one entry per partition. n1 and n2 are
-summed over all shards before any shard is written, so scores depend on the number of shards only through the 8-bit codes.
+summed over all shards before any shard is written, and all codes are of one grid that the totals fix, so a score depends on the rows alone, not on shards or files.
 
 Tokens: lower-cased (A-Z) words and one end per text; the context of a text's first token is its start.
 
@@ -202,6 +202,8 @@ def _bigrams(batches: Iterator[pa.RecordBatch], path: str, offsets: list[int]) -
             for a, b in slices(batch.column(0)):
                 words, w, v, _ = _pairs(*_tokens(batch.column(0).slice(a, b - a)))
                 ids = level.find(words)[0]
+                if bounds[-1] >= 2**32:
+                    raise ValueError("more than 2^32 distinct words: bigram keys hold ids of 32 bits")
                 key, count = np.unique((ids[v].astype(U) << U(32)) | ids[w].astype(U), return_counts=True)
                 shard = np.searchsorted(bounds, (key >> U(32)).astype(np.int64), "right") - 1
                 yield shard, key - (bounds[shard].astype(U) << U(32)), count
@@ -209,14 +211,18 @@ def _bigrams(batches: Iterator[pa.RecordBatch], path: str, offsets: list[int]) -
     yield from _gathered(entries())
 
 
-def _quantise(x: np.ndarray, bins: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """8-bit codes and what they stand for: the means of bins of equal width."""
-    if not len(x):
-        return np.zeros(0, np.uint8), np.zeros(1)
-    low, width = x.min(), max(np.ptp(x) / (bins - 1), 1e-12)
-    code = np.rint((x - low) / width).astype(np.uint8)
-    n = np.bincount(code, minlength=bins)
-    return code, np.bincount(code, x, minlength=bins) / np.maximum(n, 1)
+#: Steps of the grid of log-probabilities.
+STEPS = 2**16 - 1
+
+
+def grid(n: int, v: int, discount: float) -> float:
+    """The step of the grid, from 0 to the least log-probability that the totals allow (a word seen once, after the commonest context that one can think of)."""
+    return float(np.log10(discount / max(n, 1)) + np.log10(_unigram(1, n, v)) - 1) / STEPS
+
+
+def _quantise(x: np.ndarray, step: float) -> np.ndarray:
+    """16-bit codes: multiples of step."""
+    return np.clip(np.rint(x / step), 0, STEPS).astype(np.uint16)
 
 
 def _merge_bigrams(group: pa.Table, path: str) -> pa.Table:
@@ -242,10 +248,10 @@ def _write_bigrams(shard: int, path: str, offsets: list[int], n: int, v: int, di
     weight = np.where(seen > 0, discount * kinds / np.maximum(seen, 1), 1.0)
     # The words' own probabilities: successors are of every shard, so they are looked up in level one by id.
     p = np.maximum(counts - discount, 0) / seen[context] + weight[context] * _unigram(_counts_of(path, offsets, word), n, v)
-    code, book = _quantise(np.log10(p))
-    back, back_book = _quantise(np.log10(np.maximum(weight, 1e-12)))
+    step = grid(n, v, discount)
+    code, back = _quantise(np.log10(p), step), _quantise(np.log10(np.maximum(weight, 1e-12)), step)
     pointers = np.concatenate(([0], np.cumsum(kinds)))
-    _save(f"{path}/next-{shard}", _prefixed("pointer", pointers, int(pointers[-1]) + 1) | _prefixed("next", context.astype(U) * U(total) + word, max(size, 1) * total) | {"code": code, "book": book, "back": back, "back_book": back_book})
+    _save(f"{path}/next-{shard}", _prefixed("pointer", pointers, int(pointers[-1]) + 1) | _prefixed("next", context.astype(U) * U(total) + word, max(size, 1) * total) | {"code": code, "back": back, "step": np.array([step])})
     return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(keys)], pa.int64())], names=["shard", "bigrams"])
 
 
@@ -269,7 +275,7 @@ class Trie:
     def _next(self, s: int):
         if s not in self.open:
             folder = f"{self.path}/next-{s}"
-            self.open[s] = (_sequence(folder, "pointer"), _sequence(folder, "next"), _load(folder, ("code", "book", "back", "back_book"))) if os.path.isdir(folder) else None
+            self.open[s] = (_sequence(folder, "pointer"), _sequence(folder, "next"), _load(folder, ("code", "back", "step"))) if os.path.isdir(folder) else None
         return self.open[s]
 
     def log10(self, v: np.ndarray, w: np.ndarray, uni: np.ndarray) -> np.ndarray:
@@ -286,8 +292,8 @@ class Trie:
             value = context.astype(U) * U(self.offsets[-1]) + np.maximum(w[a:b], 0).astype(U)
             hit, at = succ.find(value, first, last)
             hit = hit[w[a:b][hit] >= 0]
-            res = out[a:b] + np.where(last > first, arrays["back_book"][arrays["back"][context]], 0.0)
-            res[hit] = arrays["book"][arrays["code"][at[hit]]]
+            res = out[a:b] + np.where(last > first, arrays["back"][context] * arrays["step"][0], 0.0)
+            res[hit] = arrays["code"][at[hit]] * arrays["step"][0]
             out[a:b] = res
         return out
 

@@ -61,7 +61,9 @@ def test_language_model_against_brute_force(spark):
         assert (r.n_tokens, r.n_known, r.train_tokens) == want[:3]
         assert r.base_score == pytest.approx(want[3], rel=1e-9) and r.score == pytest.approx(want[4], abs=0.02 * want[0] + 0.05)
     many = {r.doc_id: r.score for r in language_model.score(df, train, shards=7).collect()}
-    assert all(many[i] == pytest.approx(got[i].score, abs=0.05 * got[i].n_tokens + 0.1) for i in got)
+    assert all(many[i] == pytest.approx(got[i].score, rel=1e-9) for i in got)
+    files = {r.doc_id: r.score for r in language_model.score(df.repartition(3), train.repartition(20)).collect()}
+    assert all(files[i] == pytest.approx(got[i].score, rel=1e-9) for i in got)
     none = language_model.score(df, train.limit(0)).collect()
     assert len(none) == len(texts) and all(r.train_tokens == 0 and r.n_known == 0 for r in none)
     assert language_model.score(df.limit(0), train).count() == 0

@@ -7,7 +7,8 @@ the turns that start within ``history`` tokens before its span; the loss mask co
 each target is learnt once.
 
 Prefix sums are taken in two levels (blocks of turns, then blocks of a conversation), so one huge conversation is
-spread over tasks. Texts and roles are escaped reversibly: ``\\`` ``<`` ``[`` ``|`` become ``\\\\`` ``\\l`` ``\\b`` ``\\p``,
+spread over tasks; a span ends with its block. Texts are shuffled once, by conversation and block: spans, history and windows form where they lie, and only
+conversations of several blocks send turns on (the system turn, and those that the next block's first windows repeat). Texts and roles are escaped reversibly: ``\\`` ``<`` ``[`` ``|`` become ``\\\\`` ``\\l`` ``\\b`` ``\\p``,
 so no control string of this or of bracketed templates can occur inside a turn.
 
 Defined results: a null text or role is empty; rows of the same turn are ordered by role, then text, and repeated rows stay; a null
@@ -44,52 +45,84 @@ def tokens(text: Column) -> Column:
 
 
 def _turns(df: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text with n (tokens), before (tokens earlier in the conversation) and at (place)."""
+    """Turns with their texts, dealt by (conv, block), with places, tokens and sums inside the block: the one shuffle of texts.
+
+    ``conv`` is a text key of the conversation, never null, so that every later step is a plain equality on (conv, block).
+    """
     rows = df.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("n", tokens(F.col("text"))).withColumn("block", F.expr(f"floor(turn / {BLOCK})"))
-    blocks = rows.groupBy("conv_id", "block").agg(F.sum("n").alias("block_n"), F.count("*").alias("block_rows"))
-    earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(
-        F.col("conv_id").alias("b_conv"), F.col("block").alias("b_block"),
-        F.coalesce(F.sum("block_n").over(earlier), F.lit(0)).alias("block_before"), F.coalesce(F.sum("block_rows").over(earlier), F.lit(0)).alias("block_at"),
+    rows = rows.select(
+        F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")).alias("conv"),
+        F.coalesce(F.expr(f"floor(turn / {BLOCK})").cast("long"), F.lit(-(2**63))).alias("block"), "turn", "role", "text", tokens(F.col("text")).alias("n"),
     )
-    inside = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("before", F.coalesce(F.sum("n").over(inside), F.lit(0))).withColumn("at", F.count("*").over(inside))
-    rows = rows.join(blocks, F.col("conv_id").eqNullSafe(F.col("b_conv")) & F.col("block").eqNullSafe(F.col("b_block")))
-    return rows.withColumn("before", F.col("before") + F.col("block_before")).withColumn("at", F.col("at") + F.col("block_at")).drop("b_conv", "b_block", "block_before", "block_at")
+    return rows
+
+
+def _blocks(rows: DataFrame, history: int) -> DataFrame:
+    """What a block must know of the others, without texts: sums before it, and the next blocks that its turns can be history of."""
+    whole = Window.partitionBy("conv")
+    earlier = whole.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    # A turn has four tokens at least, so turns of `history` tokens lie in that many blocks at most.
+    later = whole.orderBy("block").rowsBetween(1, max(1, -(-history // 4)))
+    blocks = rows.groupBy("conv", "block").agg(F.sum("n").alias("block_n"), F.count("*").alias("block_rows"))
+    blocks = blocks.withColumn("block_before", F.coalesce(F.sum("block_n").over(earlier), F.lit(0))).withColumn("block_at", F.coalesce(F.sum("block_rows").over(earlier), F.lit(0)))
+    blocks = blocks.withColumn("n_blocks", F.count("*").over(whole)).withColumn("next", F.collect_list(F.struct("block", "block_before")).over(later))
+    return blocks.select("conv", "block", "block_before", "block_at", "n_blocks", "next")
+
+
+def _windows(df: DataFrame, budget: int, history: int) -> DataFrame:
+    """conv, block, n_blocks, start and t: the turns of each window, in order."""
+    rows = _turns(df)
+    inside = Window.partitionBy("conv", "block").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("before", F.coalesce(F.sum("n").over(inside), F.lit(0))).withColumn("at", F.count("*").over(inside))
+    placed = placed.join(_blocks(rows, history), ["conv", "block"])
+    placed = placed.withColumn("before", F.col("before") + F.col("block_before")).withColumn("at", F.col("at") + F.col("block_at"))
+    is_system = F.expr("at = 0 AND role = 'system'")
+    turn = F.struct("at", "role", "text", F.lit(True).alias("repeated"), "n", "before")
+    # What later blocks need of earlier ones: the system turn (each) and the turns that their first windows repeat. Conversations of one block, nearly all, send nothing.
+    long = placed.where("n_blocks > 1")
+    tails = long.where(~is_system).select("conv", F.explode(F.filter("next", lambda x: x.block_before - F.col("before") <= history)).alias("to"), turn.alias("t")).select("conv", F.col("to.block").alias("block"), "t")
+    systems = long.where(is_system).select(F.col("conv").alias("s_conv"), turn.alias("t"))
+    others = _blocks(rows, history).where("n_blocks > 1 AND block_at > 0").select("conv", "block")
+    systems = others.join(systems, F.col("conv") == F.col("s_conv")).select("conv", "block", "t")
+    given = tails.unionByName(systems).groupBy("conv", "block").agg(F.sort_array(F.collect_list("t")).alias("given"))
+    given = given.withColumn("given_n", F.when(F.expr("given[0].at = 0 AND given[0].role = 'system'"), F.expr("given[0].n")))
+    placed = placed.join(given.select("conv", "block", "given_n"), ["conv", "block"], "left")
+    in_block = Window.partitionBy("conv", "block")
+    s_n = F.coalesce("given_n", F.max(F.when(is_system, F.col("n"))).over(in_block), F.lit(0))
+    placed = placed.withColumn("payload", F.greatest(F.lit(budget // 4), F.lit(budget - history) - s_n))
+    # A span is the turns of the block inside one cell, or one turn that crosses a border; its start names it.
+    span = F.struct(F.expr("before div payload").alias("cell"), F.when(F.expr("before div payload < (before + n - 1) div payload"), F.col("before")).otherwise(F.lit(-1)).alias("own"))
+    ordered = in_block.orderBy("before")
+    placed = placed.withColumn("span", span).withColumn("opens", F.coalesce(F.lag("span").over(ordered) != F.col("span"), F.lit(True)))
+    placed = placed.withColumn("start", F.max(F.when(F.col("opens"), F.col("before"))).over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    # Spans of the block that start less than `history` tokens after the turn's start repeat it; the frame holds history / 4 turns at most.
+    reach = F.collect_list(F.when(F.col("opens"), F.col("before"))).over(ordered.rangeBetween(1, history)) if history > 0 else F.array().cast("array<long>")
+    placed = placed.withColumn("reach", F.when(is_system, F.array().cast("array<long>")).otherwise(reach))
+    copies = placed.select("conv", "block", "n_blocks", "at", "role", "text", "n", "start", F.explode(F.concat(F.array("start"), "reach")).alias("of"))
+    own = F.struct("at", "role", "text", (F.col("of") != F.col("start")).alias("repeated"), "n")
+    windows = copies.groupBy("conv", "block", "n_blocks", "of").agg(F.sort_array(F.collect_list(own)).alias("t"))
+    # The system turn, in its own block, is at the head of the first window; in others it came with what was given.
+    head = F.max(F.when(F.expr("t[0].at = 0 AND t[0].role = 'system'"), F.array(F.struct(F.expr("t[0].at").alias("at"), F.expr("t[0].role").alias("role"), F.expr("t[0].text").alias("text"), F.lit(True).alias("repeated"), F.expr("t[0].n").alias("n"))))).over(in_block)
+    windows = windows.withColumn("head", head).join(given.select("conv", "block", "given"), ["conv", "block"], "left")
+    kept = F.filter("given", lambda g: ((g.at == 0) & (g.role == "system")) | (g.before >= F.col("of") - history))
+    kept = F.transform(kept, lambda g: F.struct(g["at"].alias("at"), g["role"].alias("role"), g["text"].alias("text"), g["repeated"].alias("repeated"), g["n"].alias("n")))
+    none = F.filter("t", lambda t: F.lit(False))
+    head = F.when(F.expr("t[0].at = 0 AND t[0].role = 'system'"), none).otherwise(F.coalesce("head", none))
+    return windows.select("conv", "block", "n_blocks", F.col("of").alias("start"), F.concat(head, F.coalesce(kept, none), F.col("t")).alias("t"))
 
 
 def format_windows(df: DataFrame, budget: int = 1024, history: int = 128) -> DataFrame:
-    """One row per window: conv_id, window, first_turn, n_repeated, n_new, n_tokens, formatted, loss_spans (start and length in
-    code points of ``formatted``, the place in the conversation, all in order).
+    """One row per window: conv_id, first_turn (the place in the conversation), n_repeated, n_new, n_tokens, formatted, loss_spans (start and length in
+    code points of ``formatted``, all in order).
 
     A system turn longer than half of the budget is repeated all the same; the payload is then a quarter of the budget.
     """
-    turns = _turns(df)
-    system = turns.where("at = 0 AND role = 'system'").select(F.col("conv_id").alias("s_conv"), F.col("text").alias("s_text"), F.col("n").alias("s_n"))
-    turns = turns.join(system, F.col("conv_id").eqNullSafe(F.col("s_conv")), "left").drop("s_conv")
-    turns = turns.withColumn("payload", F.greatest(F.lit(budget // 4), F.lit(budget - history) - F.coalesce("s_n", F.lit(0))))
-    turns = turns.withColumn("cell", F.expr("before div payload")).withColumn("last_cell", F.expr("(before + n - 1) div payload"))
-    turns = turns.withColumn("crosses", F.col("cell") < F.col("last_cell"))
-    # A span is the turns inside one cell, or one crossing turn; its start orders it.
-    turns = turns.withColumn("span", F.when(F.col("crosses"), F.col("before")).otherwise(F.lit(-1)))
-    spans = turns.groupBy("conv_id", "cell", "span").agg(
-        F.min("before").alias("start"), F.min("at").alias("start_at"), F.sum("n").alias("new_n"), F.first("s_text").alias("s_text"), F.first("s_n").alias("s_n"), F.first("payload").alias("payload"),
-    )
-    own = turns.select(
-        "conv_id", F.col("cell"), F.col("span"),
-        F.struct("at", "role", "text", F.lit(False).alias("repeated"), "n").alias("t"),
-    )
-    # A turn can be history of spans that start less than `history` tokens after it began: those of its cell and of the next ones.
-    reach = F.expr(f"sequence(greatest(start - {history}, 0) div payload, start div payload)")
-    asks = spans.select(F.col("conv_id").alias("h_conv"), F.col("cell").alias("h_cell"), F.col("span").alias("h_span"), "start", "s_n", F.explode(reach).alias("look"))
-    past = turns.drop("s_n").join(asks, F.col("conv_id").eqNullSafe(F.col("h_conv")) & (F.col("cell") == F.col("look")))
-    past = past.where(f"before < start AND before >= start - {history} AND NOT (at = 0 AND s_n IS NOT NULL)")
-    repeated = past.select("conv_id", F.col("h_cell").alias("cell"), F.col("h_span").alias("span"), F.struct("at", "role", "text", F.lit(True).alias("repeated"), "n").alias("t"))
-    kept_system = spans.where("s_n IS NOT NULL AND start_at > 0").select(
-        "conv_id", "cell", "span", F.struct(F.lit(0).cast("long").alias("at"), F.lit("system").alias("role"), F.col("s_text").alias("text"), F.lit(True).alias("repeated"), F.col("s_n").alias("n")).alias("t")
-    )
-    windows = own.unionByName(repeated).unionByName(kept_system).groupBy("conv_id", "cell", "span").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    return formatted(df, budget, history).drop("conv", "block", "n_blocks")
+
+
+def formatted(df: DataFrame, budget: int = 1024, history: int = 128) -> DataFrame:
+    """``format_windows`` with conv (a key of the conversation that is never null), block and n_blocks; rows lie by (conv, block), which later groupings can use."""
+    windows = _windows(df, budget, history)
     windows = windows.withColumn("m", F.transform("t", lambda t: mark(t.role, t.text)))
     new = F.filter("t", lambda t: ~t.repeated)
     # Starts of marks: each depends on the lengths before it; windows are bounded by the budget, so this fold is short.
@@ -100,19 +133,20 @@ def format_windows(df: DataFrame, budget: int = 1024, history: int = 128) -> Dat
             (F.get(F.col("ends"), i) + F.length(escape(t.role)) + 5).alias("start"), F.length(escape(t.text)).alias("length"), (~t.repeated & (t.role == "assistant")).alias("on"))),
         lambda x: x.on,
     )
+    conv_id = F.when(F.col("conv") != "", F.substring("conv", 2, 2**31 - 1).cast(df.schema["conv_id"].dataType))
     return windows.select(
-        "conv_id", F.get(new, F.lit(0)).getField("at").alias("first_turn"),
+        conv_id.alias("conv_id"), "conv", "block", "n_blocks", F.get(new, F.lit(0)).getField("at").alias("first_turn"),
         F.size(F.filter("t", lambda t: t.repeated)).alias("n_repeated"), F.size(new).alias("n_new"),
         F.aggregate("t", F.lit(0).cast("long"), lambda acc, t: acc + t.n).alias("n_tokens"),
         F.array_join("m", "").alias("formatted"), F.transform(loss, lambda x: F.struct(x.start.alias("start"), x.length.alias("length"))).alias("loss_spans"),
     )
 
 
-def read_back(windows: DataFrame) -> DataFrame:
-    """New turns (role, text) and loss text of each window, parsed from ``formatted`` and ``loss_spans`` alone."""
+def read_back(windows: DataFrame, *keep: str) -> DataFrame:
+    """New turns (role, text) and loss text of each window, parsed from ``formatted`` and ``loss_spans`` alone, with the columns to keep."""
     parts = F.filter(F.split("formatted", r"<\|end\|>\n"), lambda x: x != "")
     parts = F.slice(parts, F.col("n_repeated") + 1, F.greatest(F.size(parts) - F.col("n_repeated"), F.lit(0)))
     turns = F.transform(parts, lambda x: F.struct(
         unescape(F.regexp_extract(x, r"(?s)\A<\|([^|]*)\|>\n", 1)).alias("role"), unescape(F.regexp_extract(x, r"(?s)\A<\|[^|]*\|>\n(.*)\z", 1)).alias("text")))
     loss = F.transform("loss_spans", lambda x: unescape(F.substring(F.col("formatted"), x.start + 1, x.length)))
-    return windows.select("conv_id", "first_turn", F.length("formatted").cast("long").alias("n_chars"), turns.alias("turns"), loss.alias("loss"))
+    return windows.select("conv_id", *keep, "first_turn", F.length("formatted").cast("long").alias("n_chars"), turns.alias("turns"), loss.alias("loss"))

@@ -23,15 +23,22 @@ URL_RULES = [
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.sql("SELECT -1L AS conv_id, t AS turn, r AS role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(t, r)")
-    back = chat.read_back(chat.format_windows(rows.unionByName(extra)))
+    back = chat.read_back(chat.formatted(rows.unionByName(extra)), "conv", "block", "n_blocks")
     spoken = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
-    parts = back.select("conv_id", F.struct("first_turn", spoken.alias("said"), F.array_join("loss", "").alias("loss")).alias("p"), F.size("turns").alias("n"), "n_chars")
-    convs = parts.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), F.sum("n_chars").alias("formatted_chars"), F.sort_array(F.collect_list("p")).alias("p"))
-    joined = lambda f: F.array_join(F.transform("p", lambda x: x[f]), "")
-    convs = convs.select("conv_id", "n_turns", "formatted_chars", joined("said").alias("said"), joined("loss").alias("loss"))
+    parts = back.select("conv", "block", "n_blocks", "conv_id", F.struct("first_turn", spoken.alias("said"), F.array_join("loss", "").alias("loss")).alias("p"), F.size("turns").alias("n"), "n_chars")
+    joined = lambda p, f: F.array_join(F.transform(p, lambda x: x[f]), "")
+    digest = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
+    # A block is put together where it lies; a conversation of one block, as nearly all are, is digested there and sends no text on.
+    blocks = parts.groupBy("conv", "block", "n_blocks", "conv_id").agg(F.sum("n").alias("n"), F.sum("n_chars").alias("n_chars"), F.sort_array(F.collect_list("p")).alias("p"))
+    blocks = blocks.select("conv", "block", "n_blocks", "conv_id", "n", "n_chars", F.expr("p[0].first_turn").alias("first"), joined("p", "said").alias("said"), joined("p", "loss").alias("loss"))
+    alone = F.when(F.col("n_blocks") == 1, F.struct(digest("said").alias("said"), F.length("loss").alias("chars"), digest("loss").alias("loss")))
+    convs = blocks.select("conv", "conv_id", "n", "n_chars", alone.alias("alone"), F.when(F.col("n_blocks") > 1, F.struct("first", "said", "loss")).alias("p"))
+    convs = convs.groupBy("conv", "conv_id").agg(F.sum("n").alias("n_turns"), F.sum("n_chars").alias("formatted_chars"), F.max("alone").alias("alone"), F.sort_array(F.collect_list("p")).alias("p"))
+    said, loss = joined("p", "said"), joined("p", "loss")
+    convs = convs.withColumn("d", F.coalesce("alone", F.struct(digest(said).alias("said"), F.length(loss).alias("chars"), digest(loss).alias("loss"))))
     return convs.select(
-        "conv_id", F.col("n_turns").cast("long").alias("n_turns"), F.sha2(F.encode("said", "UTF-8"), 256).alias("turns_sha256"),
-        F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.encode("loss", "UTF-8"), 256).alias("loss_sha256"), "formatted_chars",
+        "conv_id", F.col("n_turns").cast("long").alias("n_turns"), F.col("d.said").alias("turns_sha256"),
+        F.col("d.chars").cast("long").alias("loss_chars"), F.col("d.loss").alias("loss_sha256"), "formatted_chars",
     )
 
 

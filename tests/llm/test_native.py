@@ -80,6 +80,37 @@ def test_chat_round_trip(spark):
     assert chat.format_windows(df.limit(0)).count() == 0
 
 
+def test_chat_history_over_blocks(spark):
+    import random
+
+    r = random.Random(5)
+    places = {1: range(1400), 2: range(0, 40 * 512, 512), 3: range(0, 30_000, 170), 4: [None, None, -700, -1, 0, 0, 511, 512, 513, 5000], 5: [7] * 700, 6: range(-600, 600)}
+    rows = [(c, t, "system" if c != 3 and k == 0 else r.choice(["user", "assistant"]), f"{k:05d} " + "w " * r.choice([0, 1, 5, 30, 90])) for c, turns in places.items() for k, t in enumerate(turns)]
+    df = spark.createDataFrame(rows, "conv_id int, turn long, role string, text string").repartition(7)
+    budget, history = 150, 40
+    windows = chat.format_windows(df, budget, history).collect()
+    n_of = lambda text: len(re.findall(r"[A-Za-z0-9]+", text)) + 4
+    for conv in places:
+        own = sorted((x for x in rows if x[0] == conv), key=lambda x: (x[1] is not None, x[1] or 0, x[2], x[3]))
+        before, at = [], 0
+        for x in own:
+            before.append(at)
+            at += n_of(x[3])
+        seen = 0
+        for w in sorted((w for w in windows if w.conv_id == conv), key=lambda w: w.first_turn):
+            assert w.first_turn == seen
+            has_system = own[0][2] == "system"
+            back = [k for k in range(seen) if before[k] >= before[seen] - history and not (has_system and k == 0)]
+            want = ([0] if has_system and seen else []) + back + list(range(seen, seen + w.n_new))
+            assert w.formatted == "".join(f"<|{own[k][2]}|>\n{own[k][3]}<|end|>\n" for k in want), (conv, seen)
+            assert w.n_repeated == len(want) - w.n_new and w.n_tokens == sum(n_of(own[k][3]) for k in want)
+            s_n = n_of(own[0][3]) if has_system else 0  # a long system turn leaves a quarter of the budget to the payload
+            assert w.n_tokens <= max(budget, s_n + history + budget // 4) or w.n_new == 1
+            assert [w.formatted[x.start : x.start + x.length] for x in w.loss_spans] == [own[k][3] for k in range(seen, seen + w.n_new) if own[k][2] == "assistant"]
+            seen += w.n_new
+        assert seen == len(own)
+
+
 def test_chat_query(spark):
     got = {r.conv_id: r for r in queries.op1_chat_formatting(spark, SF).collect()}
     convs = {-1: [("user", "</s>[INST] ok [/INST]"), ("assistant", "</s>[INST] ok [/INST]")]}

@@ -1,19 +1,17 @@
 """Best-fit packing in bulk-synchronous supersteps.
 
-Documents become pieces of at most ``size`` tokens, range-sorted by length. Within a length every piece has a rank, and sequences with the same gap are
-runs of consecutive numbers. One superstep, from the longest length down, places all pieces of a length: a successor search finds the runs with the smallest sufficient gap,
-ranks decide which piece goes to which sequence (so no two compete), gaps are updated, and pieces that fit nowhere open sequences. This is
-best-fit decreasing over all pieces, but the supersteps work on counts per length - at most ``size`` of them, whatever the input - and give ranges of
-ranks; the pieces themselves are placed where they lie, by a search of their rank.
+Documents become pieces of at most ``size`` tokens; pieces under a 64th of it are put together into items as they come (up to a 32nd), any other is an item of its own. Gaps start as that many
+whole sequences as the tokens fill. A superstep range-sorts items and gaps together, longest first, and sweeps them: an item takes the smallest gap before it that is still free, as a closing bracket takes its
+opening one, so no two items compete. A task sweeps its range alone; what stays open there is a run of items, then a run of gaps, and these are matched between ranges by rank: the driver sees two
+counts a range and gives ranges of ranks, and a join brings the ranks together. Gaps shrink by what they took, and the next superstep follows with the items that are left. Items longer than
+every gap get new sequences. A sequence takes one item a superstep, so there are about as many supersteps as items in the fullest sequence.
 
-Defined results: a null text is empty and gives one piece, the end id; rows that repeat are packed as often; an empty table gives no rows.
+Defined results: a null text is empty and gives one piece, the end id; rows that repeat are packed as often; an empty table gives no rows; size must be positive.
 """
 
 from __future__ import annotations
 
-import bisect
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import partial
 
@@ -27,6 +25,8 @@ from .storage import cut, ship
 
 SIZE, END = 2048, 0
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: A swept row: an item with its gap if both are there, else one that stays open, by its rank in its range.
+SWEPT = "item long, length long, sequence long, gap long, part int, rank long"
 _encoders: dict[str, object] = {}
 
 
@@ -51,91 +51,148 @@ def encoder(path: str):
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, end: int) -> Iterator[pa.RecordBatch]:
+    """Pieces, each with its item, its place in it, and the item's length on the item's last piece (0 on others)."""
     coder = encoder(path)
+    item, held, filled = TaskContext.get().partitionId() << 40, [], 0
     for batch in batches:
-        rows: list[list] = [[], [], [], [], []]
+        out: list[list] = []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             ids = np.array([*coder.encode(text or "", allowed_special="all"), end], "<u4")
             first = len(ids) % size or size
             for k, start in enumerate([0, *range(first, len(ids), size)]):
                 part = ids[start : first if k == 0 else start + size]
-                for column, x in zip(rows, (doc, k, start, len(part), zlib.crc32(part.tobytes())), strict=True):
-                    column.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), *[pa.array(r, pa.int64()) for r in rows[2:]]], names=["doc_id", "piece", "start", "length", "ids_crc32"])
-
-
-def plan(counts: dict[int, int], size: int) -> dict[int, list[tuple[int, int, int]]]:
-    """counts: pieces per length. For each length, ranges of ranks as (first rank, first sequence, offset), in order.
-
-    Rank r of a range goes to sequence ``first sequence + (r - first rank)`` at ``offset``.
+                row = [doc, k, start, len(part), zlib.crc32(part.tobytes())]
+                if 64 * len(part) >= size:
+                    out.append([*row, item, 0, len(part)])
+                    item += 1
+                    continue
+                if held and 32 * (filled + len(part)) > size:
+                    held[-1][-1] = filled
+                    out += held
+                    item, held, filled = item + 1, [], 0
+                if not held:
+                    own, item = item, item + 1
+                held.append([*row, own, filled, 0])
+                filled += len(part)
+        yield _batch(out)
+    if held:
+        held[-1][-1] = filled
+        yield _batch(held)
+
+
+def _batch(rows: list[list]) -> pa.RecordBatch:
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "item", "within", "item_length"]
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "piece" else pa.int64()) for n, c in zip(names, columns, strict=True)], names=names)
+
+
+def brackets(is_gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of gaps and of the items that take them: each item the nearest free gap before it, as brackets match."""
+    depth = np.cumsum(np.where(is_gap, 1, -1))
+    level = depth + ~is_gap  # of a gap after it, of an item before it: a path crosses a level up and down in turn
+    order = np.argsort(level, kind="stable")
+    a, b = order[:-1], order[1:]
+    pair = (level[a] == level[b]) & is_gap[a] & ~is_gap[b]
+    return a[pair], b[pair]
+
+
+def _swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One range of gaps and items, longest first: its matches, and what stays open with ranks (items in order, gaps from the last)."""
+    rows = list(batches)
+    if not rows:
+        return
+    is_gap, length, key = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in rows]) for c in ("is_gap", "length", "key"))
+    gap, item = brackets(is_gap)
+    open_ = np.ones(len(key), bool)
+    open_[gap] = open_[item] = False
+    items, gaps = np.flatnonzero(open_ & ~is_gap), np.flatnonzero(open_ & is_gap)[::-1]
+    n, m, k = len(item), len(items), len(gaps)
+    at_item, at_gap = np.concatenate([item, items, np.zeros(k, np.int64)]), np.concatenate([gap, np.zeros(m, np.int64), gaps])
+    no_item, no_gap = np.arange(n + m + k) >= n + m, (np.arange(n + m + k) >= n) & (np.arange(n + m + k) < n + m)
+    rank = np.concatenate([np.zeros(n, np.int64), np.arange(m), np.arange(k)])
+    part = np.full(n + m + k, TaskContext.get().partitionId(), np.int32)
+    columns = [pa.array(key[at_item], mask=no_item), pa.array(length[at_item], mask=no_item), pa.array(key[at_gap], mask=no_gap), pa.array(length[at_gap], mask=no_gap), pa.array(part), pa.array(rank)]
+    yield pa.RecordBatch.from_arrays(columns, names=["item", "length", "sequence", "gap", "part", "rank"])
+
+
+def between(left: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """left: for each range, in order, its number and how many items and gaps stayed open. Matches between ranges as
+    (range of the items, first rank, range of the gaps, first rank), each up to the next one of its range; no gaps (-1) end the list of a range.
     """
-    runs: dict[int, list[tuple[int, int]]] = defaultdict(list)  # gap -> (first sequence, how many)
-    gaps: list[int] = []  # those that occur, sorted
-    out: dict[int, list[tuple[int, int, int]]] = {}
-    opened = 0
-
-    def give(gap: int, first: int, n: int) -> None:
-        if gap:
-            if not runs[gap]:
-                bisect.insort(gaps, gap)
-            runs[gap].append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        rank, left, moves = 0, counts[length], []
-        while left:
-            k = bisect.bisect_left(gaps, length)  # the smallest gap that suffices
-            if k < len(gaps):
-                gap = gaps[k]
-                first, n = runs[gap].pop()
-                if not runs[gap]:
-                    gaps.pop(k)
-            else:  # as many new sequences as the rest fills, so that each takes what fits of this length
-                gap, first, n = size, opened, -(-left // (size // length))
-                opened += n
-            took = min(n, left)
-            moves.append((rank, first, size - gap))
-            if took < n:
-                give(gap, first + took, n - took)
-            give(gap - length, first, took)
-            rank, left = rank + took, left - took
-        out[length] = moves
+    stack: list[list[int]] = []  # range, next rank, how many
+    out = []
+    for part, items, gaps in left:
+        rank = 0
+        while rank < items and stack:
+            top = stack[-1]
+            took = min(items - rank, top[2])
+            out.append((part, rank, top[0], top[1]))
+            rank, top[1], top[2] = rank + took, top[1] + took, top[2] - took
+            if not top[2]:
+                stack.pop()
+        if rank < items:
+            out.append((part, rank, -1, 0))
+        if gaps:
+            stack.append([part, 0, gaps])
     return out
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, int] = defaultdict(int)
+def _ranked(batches: Iterator[pa.RecordBatch], runs: list[tuple[int, int, int, int]]) -> Iterator[pa.RecordBatch]:
+    """Open items with the range and rank of their gaps, or with keys of their own that no gap has."""
+    by_part: dict[int, list[np.ndarray]] = {}
+    for part in {r[0] for r in runs}:
+        by_part[part] = [np.array(c, np.int64) for c in zip(*[r[1:] for r in runs if r[0] == part], strict=True)]
     for batch in batches:
-        for n, c in zip(*np.unique(batch.column("length").to_numpy(), return_counts=True), strict=True):
-            total[int(n)] += int(c)
-    keys = sorted(total)
-    yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()] * len(keys), pa.int32()), pa.array(keys, pa.int64()), pa.array([total[k] for k in keys], pa.int64())], names=["part", "length", "n"])
-
-
-def _placed(batches: Iterator[pa.RecordBatch], before: dict[tuple[int, int], int], moves: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    part, seen = TaskContext.get().partitionId(), defaultdict(int)
-    for batch in batches:
-        lengths = batch.column("length").to_numpy()
-        sequence, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
-        for n in np.unique(lengths).tolist():
-            at = np.flatnonzero(lengths == n)
-            rank = before.get((part, n), 0) + seen[n] + np.arange(len(at))
-            seen[n] += len(at)
-            first_rank, first, place = moves[n]
-            k = np.searchsorted(first_rank, rank, "right") - 1
-            sequence[at], offset[at] = first[k] + rank - first_rank[k], place[k]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sequence), pa.array(offset)], names=[*batch.schema.names, "sequence_id", "offset"])
+        part, rank = batch.column("part").to_numpy(), batch.column("rank").to_numpy()
+        to, at = np.empty(len(part), np.int64), np.empty(len(part), np.int64)
+        for p in np.unique(part).tolist():
+            on = np.flatnonzero(part == p)
+            first, of, first_gap = by_part[p]
+            k = np.searchsorted(first, rank[on], "right") - 1
+            to[on] = np.where(of[k] < 0, -1 - p, of[k])
+            at[on] = np.where(of[k] < 0, rank[on], first_gap[k] + rank[on] - first[k])
+        yield pa.RecordBatch.from_arrays([batch.column("item"), batch.column("length"), pa.array(to), pa.array(at)], names=["item", "length", "to", "at"])
+
+
+def _superstep(state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """state: is_gap, length, key. Matches and what is left, as two tables of item, length, sequence and gap (nulls: nothing matched)."""
+    order = [F.col("length").desc(), F.col("is_gap").desc(), F.col("key")]
+    swept = cut(state.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_swept, SWEPT))
+    counts = swept.where("item IS NULL OR sequence IS NULL").groupBy("part").agg(F.count("item"), F.count("sequence")).collect()  # a row a range
+    runs = between(sorted(tuple(r) for r in counts))
+    items = swept.where("sequence IS NULL").mapInArrow(partial(_ranked, runs=runs), "item long, length long, to long, at long")
+    gaps = swept.where("item IS NULL").select("sequence", "gap", F.col("part").cast("long").alias("to"), F.col("rank").alias("at"))
+    met = cut(items.join(gaps, ["to", "at"], "full").select("item", "length", "sequence", "gap"))
+    return swept.where("item IS NOT NULL AND sequence IS NOT NULL").select("item", "length", "sequence", "gap"), met
+
+
+def fit(items: DataFrame, size: int) -> DataFrame:
+    """item, sequence_id and at (its place there) for each of items (item, length), packed into sequences of at most size."""
+    spark = items.sparkSession
+    state = items.select(F.lit(False).alias("is_gap"), "length", F.col("item").alias("key"))
+    placed = items.select("item", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("at")).where("false")
+    opened = 0
+    while True:
+        sizes = state.groupBy("is_gap", "length").count().collect()  # at most 2 * size rows
+        left = {r["length"]: r["count"] for r in sizes if not r.is_gap}
+        if not left:
+            return placed
+        largest = max((r["length"] for r in sizes if r.is_gap), default=0)
+        # Items that no gap can take open new sequences: as many as their tokens fill. At first these are all items.
+        new = -(-sum(n * c for n, c in left.items() if n > largest) // size)
+        fresh = spark.range(opened, opened + new).select(F.lit(True).alias("is_gap"), F.lit(size).cast("long").alias("length"), F.col("id").alias("key"))
+        opened += new
+        within, between_ranges = _superstep(state.where(~F.col("is_gap") | (F.col("length") >= min(left))).unionByName(fresh))
+        rows = within.unionByName(between_ranges)
+        matched = rows.where("item IS NOT NULL AND sequence IS NOT NULL")
+        placed = placed.unionByName(matched.select("item", F.col("sequence").alias("sequence_id"), (F.lit(size) - F.col("gap")).cast("long").alias("at")))
+        gaps = rows.where("sequence IS NOT NULL").select(F.lit(True).alias("is_gap"), (F.col("gap") - F.coalesce("length", F.lit(0))).alias("length"), F.col("sequence").alias("key")).where("length > 0")
+        state = gaps.unionByName(between_ranges.where("sequence IS NULL").select(F.lit(False).alias("is_gap"), "length", F.col("item").alias("key")))
 
 
 def pack(docs: DataFrame, path: str, size: int = SIZE, end: int = END) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for each piece of docs (doc_id, text)."""
     ship(docs.sparkSession)
-    pieces = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_pieces, path=path, size=size, end=end), PIECE))
-    # Range-sorted, with the hash breaking up long runs of one length; kept, so that a piece's partition and rank stay as counted.
-    ranged = cut(pieces.repartitionByRange("length", "doc_id", "piece", "ids_crc32").sortWithinPartitions("length", "doc_id", "piece"))
-    counted = sorted(tuple(r) for r in ranged.mapInArrow(_counted, "part int, length long, n long").collect())  # at most partitions + size rows
-    before, counts = {}, defaultdict(int)
-    for part, length, n in counted:
-        before[part, length] = counts[length]
-        counts[length] += n
-    moves = {n: tuple(np.array(c, np.int64) for c in zip(*m, strict=True)) for n, m in plan(counts, size).items()}
-    return ranged.mapInArrow(partial(_placed, before=before, moves=moves), PIECE + ", sequence_id long, offset long")
+    pieces = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_pieces, path=path, size=size, end=end), PIECE + ", item long, within long, item_length long"))
+    places = fit(pieces.where("item_length > 0").select("item", F.col("item_length").alias("length")), size)
+    return pieces.join(places, "item").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", (F.col("at") + F.col("within")).alias("offset"))

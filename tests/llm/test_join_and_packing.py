@@ -201,24 +201,60 @@ def test_packing_awkward_rows(spark):
     assert packing.pack(df.limit(0), queries.tokenizer_path()).count() == 0
 
 
-def test_plan_is_best_fit():
+def sweep(rows):
+    """The items, in order, with the gap that each takes: the smallest one before it that is free."""
+    free, took = [], {}
+    for k, gap in enumerate(rows):
+        if gap:
+            free.append(k)
+        elif free:
+            took[k] = free.pop()
+    return took
+
+
+def test_sweep_over_ranges():
     r = random.Random(2)
-    for _ in range(40):
-        size = r.choice([10, 50, 200])
-        lengths = sorted((r.randint(1, size) for _ in range(r.randint(1, 300))), reverse=True)
-        counts = {n: lengths.count(n) for n in set(lengths)}
-        fill = {}
-        for n, moves in packing.plan(counts, size).items():
-            ends = [m[0] for m in moves[1:]] + [counts[n]]
-            for (rank, first, offset), end in zip(moves, ends, strict=True):
-                for q in range(first, first + end - rank):
-                    assert fill.get(q, 0) == offset
-                    fill[q] = offset + n
-        gaps = []
-        for n in lengths:
+    for _ in range(200):
+        rows = [r.random() < 0.5 for _ in range(r.randint(1, 60))]
+        gap, item = packing.brackets(np.array(rows))
+        assert dict(zip(item.tolist(), gap.tolist(), strict=True)) == sweep(rows)
+        # The same rows in ranges: matches inside them and those between them by rank give the same.
+        edges = sorted({0, len(rows), *(r.randint(0, len(rows)) for _ in range(6))})
+        got, left, places = {}, [], {}
+        for p, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+            own = sweep(rows[a:b])
+            got |= {a + i: a + g for i, g in own.items()}
+            items = [k for k in range(a, b) if not rows[k] and k - a not in own]
+            gaps = [k for k in range(a, b) if rows[k] and k - a not in own.values()][::-1]
+            left.append((p, len(items), len(gaps)))
+            places[p] = items, gaps
+        runs = packing.between(left)
+        for n, (p, rank, q, first) in enumerate(runs):
+            end = runs[n + 1][1] if n + 1 < len(runs) and runs[n + 1][0] == p else left[p][1]
+            if q >= 0:
+                got |= {places[p][0][rank + j]: places[q][1][first + j] for j in range(end - rank)}
+        assert got == sweep(rows)
+
+
+def test_fit_is_tight(spark):
+    r = random.Random(4)
+    cases = {
+        "mixed": [r.randint(1, 200) for _ in range(1500)], "halves": [101] * 40 + [99] * 40, "equal": [67] * 300, "whole": [200] * 30,
+        "over": [150] * 50 + [60] * 10, "one": [1],
+    }
+    for name, lengths in cases.items():
+        df = spark.createDataFrame(list(enumerate(lengths)), "item long, length long").repartition(5)
+        rows = packing.fit(df, 200).collect()
+        assert sorted(x.item for x in rows) == list(range(len(lengths)))
+        at = {}
+        for x in sorted(rows, key=lambda x: (x.sequence_id, x["at"])):
+            assert at.get(x.sequence_id, 0) == x["at"]
+            at[x.sequence_id] = x["at"] + lengths[x.item]
+        gaps = []  # best-fit decreasing
+        for n in sorted(lengths, reverse=True):
             fit = [k for k, g in enumerate(gaps) if g >= n]
             if fit:
                 gaps[min(fit, key=lambda k: gaps[k])] -= n
             else:
-                gaps.append(size - n)
-        assert max(fill.values()) <= size and sum(fill.values()) == sum(lengths) and len(fill) <= len(gaps) + 1
+                gaps.append(200 - n)
+        assert max(at.values()) <= 200 and len(at) <= 1.02 * len(gaps) + 1, (name, len(at), len(gaps))

@@ -1,10 +1,9 @@
 """Best-fit packing in bulk-synchronous supersteps.
 
-Documents become pieces of at most ``size`` tokens; pieces under a 64th of it are put together into items as they come (up to a 32nd), any other is an item of its own. Gaps start as that many
-whole sequences as the tokens fill. A superstep range-sorts items and gaps together, longest first, and sweeps them: an item takes the smallest gap before it that is still free, as a closing bracket takes its
-opening one, so no two items compete. A task sweeps its range alone; what stays open there is a run of items, then a run of gaps, and these are matched between ranges by rank: the driver sees two
-counts a range and gives ranges of ranks, and a join brings the ranks together. Gaps shrink by what they took, and the next superstep follows with the items that are left. Items longer than
-every gap get new sequences. A sequence takes one item a superstep, so there are about as many supersteps as items in the fullest sequence.
+Documents become pieces of at most ``size`` tokens, the items. Gaps start as that many whole sequences as the tokens fill. A superstep range-sorts items and gaps together, longest first, and sweeps them: an
+item takes the smallest gap before it that is still free, as a closing bracket takes its opening one, so no two items compete. A task sweeps its range alone; what stays open there is a run of items, then a
+run of gaps, and these are matched between ranges by rank: the driver sees two counts a range and gives ranges of ranks, and a join brings the ranks together. A gap that holds the longest item left several
+times is offered as so many parts. Gaps shrink by what they took, and the next superstep follows with the items that are left. Items longer than every gap get new sequences.
 
 Defined results: a null text is empty and gives one piece, the end id; rows that repeat are packed as often; an empty table gives no rows; size must be positive.
 """
@@ -18,10 +17,10 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import cut, ship
+from .storage import ship, written
 
 SIZE, END = 2048, 0
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -51,39 +50,22 @@ def encoder(path: str):
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, end: int) -> Iterator[pa.RecordBatch]:
-    """Pieces, each with its item, its place in it, and the item's length on the item's last piece (0 on others)."""
+    """Pieces, each with a number of its own."""
     coder = encoder(path)
-    item, held, filled = TaskContext.get().partitionId() << 40, [], 0
+    item = TaskContext.get().partitionId() << 40
     for batch in batches:
-        out: list[list] = []
+        rows: list[list] = [[], [], [], [], []]
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             ids = np.array([*coder.encode(text or "", allowed_special="all"), end], "<u4")
             first = len(ids) % size or size
             for k, start in enumerate([0, *range(first, len(ids), size)]):
                 part = ids[start : first if k == 0 else start + size]
-                row = [doc, k, start, len(part), zlib.crc32(part.tobytes())]
-                if 64 * len(part) >= size:
-                    out.append([*row, item, 0, len(part)])
-                    item += 1
-                    continue
-                if held and 32 * (filled + len(part)) > size:
-                    held[-1][-1] = filled
-                    out += held
-                    item, held, filled = item + 1, [], 0
-                if not held:
-                    own, item = item, item + 1
-                held.append([*row, own, filled, 0])
-                filled += len(part)
-        yield _batch(out)
-    if held:
-        held[-1][-1] = filled
-        yield _batch(held)
-
-
-def _batch(rows: list[list]) -> pa.RecordBatch:
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", "item", "within", "item_length"]
-    columns = list(zip(*rows, strict=True)) or [()] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "piece" else pa.int64()) for n, c in zip(names, columns, strict=True)], names=names)
+                for column, x in zip(rows, (doc, k, start, len(part), zlib.crc32(part.tobytes())), strict=True):
+                    column.append(x)
+        n = len(rows[0])
+        columns = [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), *[pa.array(r, pa.int64()) for r in rows[2:]], pa.array(np.arange(item, item + n))]
+        item += n
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "item"])
 
 
 def brackets(is_gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,44 +137,51 @@ def _ranked(batches: Iterator[pa.RecordBatch], runs: list[tuple[int, int, int, i
 
 
 def _superstep(state: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """state: is_gap, length, key. Matches and what is left, as two tables of item, length, sequence and gap (nulls: nothing matched)."""
+    """state: is_gap, length, key. What the ranges matched inside them and what came of the rest, as two tables of item, length, sequence and gap (nulls: nothing matched).
+
+    They are written: a checkpoint keeps the plan's constraints, which grow from step to step.
+    """
     order = [F.col("length").desc(), F.col("is_gap").desc(), F.col("key")]
-    swept = cut(state.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_swept, SWEPT))
+    swept = written(state.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_swept, SWEPT), "swept")
     counts = swept.where("item IS NULL OR sequence IS NULL").groupBy("part").agg(F.count("item"), F.count("sequence")).collect()  # a row a range
     runs = between(sorted(tuple(r) for r in counts))
     items = swept.where("sequence IS NULL").mapInArrow(partial(_ranked, runs=runs), "item long, length long, to long, at long")
     gaps = swept.where("item IS NULL").select("sequence", "gap", F.col("part").cast("long").alias("to"), F.col("rank").alias("at"))
-    met = cut(items.join(gaps, ["to", "at"], "full").select("item", "length", "sequence", "gap"))
+    met = written(items.join(gaps, ["to", "at"], "full").select("item", "length", "sequence", "gap"), "met")
     return swept.where("item IS NOT NULL AND sequence IS NOT NULL").select("item", "length", "sequence", "gap"), met
 
 
 def fit(items: DataFrame, size: int) -> DataFrame:
-    """item, sequence_id and at (its place there) for each of items (item, length), packed into sequences of at most size."""
+    """item, sequence_id and offset (its place there) for each of items (item, length), packed into sequences of at most size."""
     spark = items.sparkSession
-    state = items.select(F.lit(False).alias("is_gap"), "length", F.col("item").alias("key"))
-    placed = items.select("item", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("at")).where("false")
+    flag = lambda x: F.lit(x).alias("is_gap")
+    state = items.select(flag(False), "length", F.col("item").alias("key"))
+    placed = items.select("item", "length", F.lit(0).cast("long").alias("sequence_id")).where("false")
     opened = 0
-    while True:
-        sizes = state.groupBy("is_gap", "length").count().collect()  # at most 2 * size rows
-        left = {r["length"]: r["count"] for r in sizes if not r.is_gap}
-        if not left:
-            return placed
-        largest = max((r["length"] for r in sizes if r.is_gap), default=0)
+    while left := {(r.is_gap, r["length"]): r["count"] for r in state.groupBy("is_gap", "length").count().collect()}:  # at most 2 * size rows
+        lengths = [n for is_gap, n in left if not is_gap]
+        if not lengths:
+            break
         # Items that no gap can take open new sequences: as many as their tokens fill. At first these are all items.
-        new = -(-sum(n * c for n, c in left.items() if n > largest) // size)
-        fresh = spark.range(opened, opened + new).select(F.lit(True).alias("is_gap"), F.lit(size).cast("long").alias("length"), F.col("id").alias("key"))
+        widest = max((n for is_gap, n in left if is_gap), default=0)
+        new = -(-sum(n * c for (is_gap, n), c in left.items() if not is_gap and n > widest) // size)
+        gaps = state.where("is_gap").unionByName(spark.range(opened, opened + new).select(flag(True), F.lit(size).cast("long").alias("length"), F.col("id").alias("key")))
         opened += new
-        within, between_ranges = _superstep(state.where(~F.col("is_gap") | (F.col("length") >= min(left))).unionByName(fresh))
-        rows = within.unionByName(between_ranges)
-        matched = rows.where("item IS NOT NULL AND sequence IS NOT NULL")
-        placed = placed.unionByName(matched.select("item", F.col("sequence").alias("sequence_id"), (F.lit(size) - F.col("gap")).cast("long").alias("at")))
-        gaps = rows.where("sequence IS NOT NULL").select(F.lit(True).alias("is_gap"), (F.col("gap") - F.coalesce("length", F.lit(0))).alias("length"), F.col("sequence").alias("key")).where("length > 0")
-        state = gaps.unionByName(between_ranges.where("sequence IS NULL").select(F.lit(False).alias("is_gap"), "length", F.col("item").alias("key")))
+        # Parts of a gap differ by the remainder, which the first one gets; each holds any item that is left.
+        parts = F.greatest(F.lit(1), F.expr(f"length div {max(lengths)}"))
+        gaps = gaps.where(F.col("length") >= min(lengths)).select("*", parts.alias("parts")).select("*", F.explode(F.sequence(F.lit(1), "parts")).alias("which"))
+        gaps = gaps.select(flag(True), F.expr("length div parts + if(which = 1, length % parts, 0)").alias("length"), "key")
+        inside, rest = _superstep(gaps.unionByName(state.where("NOT is_gap")))
+        took = inside.unionByName(rest.where("sequence IS NOT NULL"))
+        placed = placed.unionByName(took.where("item IS NOT NULL").select("item", "length", F.col("sequence").alias("sequence_id")))
+        gaps = took.groupBy("sequence").agg(F.sum(F.col("gap") - F.coalesce("length", F.lit(0))).alias("length")).where("length > 0")
+        state = gaps.select(flag(True), "length", F.col("sequence").alias("key")).unionByName(rest.where("sequence IS NULL").select(flag(False), "length", F.col("item").alias("key")))
+    before = Window.partitionBy("sequence_id").orderBy("item").rowsBetween(Window.unboundedPreceding, -1)
+    return placed.select("item", "sequence_id", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"))
 
 
 def pack(docs: DataFrame, path: str, size: int = SIZE, end: int = END) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for each piece of docs (doc_id, text)."""
     ship(docs.sparkSession)
-    pieces = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_pieces, path=path, size=size, end=end), PIECE + ", item long, within long, item_length long"))
-    places = fit(pieces.where("item_length > 0").select("item", F.col("item_length").alias("length")), size)
-    return pieces.join(places, "item").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", (F.col("at") + F.col("within")).alias("offset"))
+    pieces = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_pieces, path=path, size=size, end=end), PIECE + ", item long"), "pieces")
+    return pieces.join(fit(pieces.select("item", "length"), size), "item").drop("item")

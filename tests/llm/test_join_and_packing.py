@@ -240,16 +240,16 @@ def test_fit_is_tight(spark):
     r = random.Random(4)
     cases = {
         "mixed": [r.randint(1, 200) for _ in range(1500)], "halves": [101] * 40 + [99] * 40, "equal": [67] * 300, "whole": [200] * 30,
-        "over": [150] * 50 + [60] * 10, "one": [1],
+        "over": [150] * 50 + [60] * 10, "one": [1], "tiny": [1] * 2000 + [r.randint(1, 9) for _ in range(500)],
     }
     for name, lengths in cases.items():
         df = spark.createDataFrame(list(enumerate(lengths)), "item long, length long").repartition(5)
         rows = packing.fit(df, 200).collect()
         assert sorted(x.item for x in rows) == list(range(len(lengths)))
         at = {}
-        for x in sorted(rows, key=lambda x: (x.sequence_id, x["at"])):
-            assert at.get(x.sequence_id, 0) == x["at"]
-            at[x.sequence_id] = x["at"] + lengths[x.item]
+        for x in sorted(rows, key=lambda x: (x.sequence_id, x.offset)):
+            assert at.get(x.sequence_id, 0) == x.offset
+            at[x.sequence_id] = x.offset + lengths[x.item]
         gaps = []  # best-fit decreasing
         for n in sorted(lengths, reverse=True):
             fit = [k for k, g in enumerate(gaps) if g >= n]
